@@ -151,7 +151,9 @@ def fit(
     emb, soft, bias = rng.standard_normal((buckets, dim)) * 0.05, rng.standard_normal((dim, 2)) * 0.5, np.zeros(2)
     emb_sum, soft_sum, bias_sum = np.full(buckets, 1e-6), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
     share = np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()) / hard)
-    for _ in range(rounds if vocabulary else 0):
+    # A small sample gets more rounds, for about as many updates.
+    rounds = max(rounds, -(-800 * batch // max(1, len(docs) * 2))) if vocabulary else 0
+    for _ in range(rounds):
         value = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0]))[gram], start) / size
         picks = []
         for k, (d, r) in enumerate(zip(docs, ranges, strict=True)):
