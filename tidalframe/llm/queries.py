@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, toxicity
 from .toxicity import crc_mod
 
 
@@ -47,6 +47,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(crc_mod("doc_id", 3) != 1), "quality")
@@ -80,7 +86,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op6_quality, op7_ngram_join, op9_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op9_line_dedup, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {
