@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, toxicity
 from .toxicity import crc_mod
 
 
@@ -65,6 +65,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: its messages in reply order, as chat lines, and their digest."""
+    ordered = chat.conversations(chat.link_messages(_table(spark, sf_dir, "conversations")))
+    # The chat template: a role marker, the content, an end marker.
+    lines = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("<|end|>\n"))), "")
+    return ordered.select(F.col("conv").cast("long").alias("conv_id"), "n_messages", "n_quoted", F.sha2(lines, 256).alias("chat_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_report(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -86,7 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op9_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op8_chat, op9_line_dedup, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {
