@@ -1,0 +1,22 @@
+"""Named queries over the driver's tables."""
+
+from importlib import import_module
+
+from .. import registry
+
+_MODULES = ["window_queries", "relational_queries"]
+
+
+def _load() -> None:
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")
+
+
+def queries() -> dict[str, registry.Query]:
+    _load()
+    return registry.QUERIES
+
+
+def oracles() -> dict[str, str]:
+    _load()
+    return registry.ORACLES
