@@ -112,11 +112,12 @@ def net_positions(raw: DataFrame, keys: list[str], categories: dict[str, tuple[s
     return raw.select(*keys, F.inline(F.array(*parts)))
 
 
-_FORMATS = ["EEE, dd MMM yyyy HH:mm:ss z", "EEE, dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyyMMdd'T'HHmmss'Z'"]
+_FORMATS = ["dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyyMMdd'T'HHmmss'Z'"]
 
 
 def any_time(text: Column) -> Column:
-    """A time in one of four formats, or null."""
+    """A time in one of four formats (a weekday name is dropped first), or null."""
+    text = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in _FORMATS])
 
 
