@@ -107,10 +107,10 @@ def _(spark, d):
 
 
 @query("M16_lag_features", f"""WITH {WEEKLY}, k AS (SELECT series_id, date, list(x) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM weekly WHERE x IS NOT NULL), f AS (SELECT * FROM k WHERE len(l) = 4)
-    SELECT series_id, CAST(date AS VARCHAR) AS date, round(l[4] - l[1], 6) + 0.0 AS moved, round(list_avg(l) / 7, 6) + 0.0 AS mean, round(list_max(l), 8) + 0.0 AS high, round((-1.5 * l[4] - 0.5 * l[3] + 0.5 * l[2] + 1.5 * l[1]) / 5, 6) + 0.0 AS slope FROM f""")
+    SELECT series_id, CAST(date AS VARCHAR) AS date, round((l[4] - l[1]) / pi(), 6) + 0.0 AS moved, round(list_avg(l) / pi(), 6) + 0.0 AS mean, round(list_max(l), 8) + 0.0 AS high, round((-1.5 * l[4] - 0.5 * l[3] + 0.5 * l[2] + 1.5 * l[1]) / 5 / pi(), 6) + 0.0 AS slope FROM f""")
 def _(spark, d):
     f = C.lag_features(weekly(spark, d), "series_id", "date", "x", 4).where("newest is not null")
-    return _text_date(f.select("series_id", "date", r("moved").alias("moved"), r(F.col("mean") / 7).alias("mean"), r("high", 8).alias("high"), r("slope").alias("slope")))
+    return _text_date(f.select("series_id", "date", r(F.col("moved") / F.pi()).alias("moved"), r(F.col("mean") / F.pi()).alias("mean"), r("high", 8).alias("high"), r(F.col("slope") / F.pi()).alias("slope")))
 
 
 @query("M11_quantile_bands", f"""WITH {WEEKLY} SELECT series_id, CAST(date AS VARCHAR) AS date, round(CASE WHEN count(value) OVER f >= 13 THEN quantile_cont(value / 7, 0.05) OVER f END, 6) + 0.0 AS q05, round(CASE WHEN count(value) OVER f >= 13 THEN quantile_cont(value / 7, 0.95) OVER f END, 6) + 0.0 AS q95
