@@ -260,8 +260,12 @@ def _join(percent: int):
     def join(table: pa.Table) -> pa.Table:
         nodes, grams, side = table["node"].to_pylist(), table["grams"].combine_chunks(), table["side"].to_numpy()
         ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
-        order = np.argsort(side, kind="stable").tolist()
-        sets, split = [flat[ends[k] : ends[k + 1]] for k in order], int((side == 0).sum())
+        order, seen = [], set()
+        for k in np.argsort(side, kind="stable").tolist():  # repeated rows bring a set again
+            if nodes[k] not in seen:
+                seen.add(nodes[k])
+                order.append(k)
+        sets, split = [flat[ends[k] : ends[k + 1]] for k in order], int((side[order] == 0).sum())
         one = table["one"][0].as_py() == table["two"][0].as_py()
         found = links(sets, None, percent) if one else links(sets[:split], sets[split:], percent) if 0 < split < len(sets) else []
         return pa.table({"a": pa.array([nodes[order[a]] for a, _ in found], pa.binary()), "b": pa.array([nodes[order[b]] for _, b in found], pa.binary())})
@@ -278,27 +282,28 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = narrow.select("id", "text", F.xxhash64("id", "text").alias("row"))
 
-    def sets_of(b: pa.RecordBatch, hashed: WordHash) -> list[np.ndarray]:
-        return [np.unique(shingles(hashed(tokens_of(t)), n)) for t in bytes_of(b.column(1))]
+    def sets_of(texts: pa.Array, hashed: WordHash) -> list[np.ndarray]:
+        return [np.unique(shingles(hashed(tokens_of(t)), n)) for t in bytes_of(texts)]
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
         for b in batches:
-            sets = sets_of(b, hashed)
+            sets = sets_of(b.column(1), hashed)
             nodes = [node_of(s) if len(s) else None for s in sets]
             keys = [None if x is None else int.from_bytes(x[:8], "big", signed=True) for x in nodes]
             sums = [part_sums(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sums])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sums, np.zeros(0, np.int64)])))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), lists], ["id", "n", "node", "key", "sums"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.int64()), lists], ["id", "row", "n", "node", "key", "sums"])
 
-    schema = T.StructType([narrow.schema["id"], *T.StructType.fromDDL("n long, node binary, key long, sums array<long>").fields])
+    schema = T.StructType([narrow.schema["id"], *T.StructType.fromDDL("row long, n long, node binary, key long, sums array<long>").fields])
     table = cut(narrow.mapInArrow(describe, schema), "sets")
 
-    # Part sums that two nodes have at least.
-    sums = table.where("key is not null").select("key", F.explode("sums").alias("s"))
-    shared = cut(sums.groupBy("s").agg(F.min("key").alias("lead"), F.max("key").alias("other")).where("lead != other").select("s", "lead"), "shared-sums")
+    # Part sums that two nodes have. A short mark, another for each sum, tells nodes apart here.
+    sums = table.where("key is not null").select("key", F.explode("sums").alias("s")).select("s", F.hash("s", "key").alias("mark"))
+    shared = sums.groupBy("s").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a != b").select("s")
     held = spark.sparkContext.broadcast(BitFilter.of(shared, "s", log2_bits))
 
     def hits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,32 +316,27 @@ def jaccard_components(
             at = bits.has(flat)
             yield pa.record_batch([pa.array(keys[at]), signed(flat[at])], ["key", "s"])
 
-    met = table.where("key is not null").select("key", "sums").mapInArrow(hits, "key long, s long").distinct()
-    candidates = met.join(shared, "s").where("key != lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
-    blocks = cut(components(candidates, "block-edges"), "blocks")
+    met = cut(table.where("key is not null").select("key", "sums").mapInArrow(hits, "key long, s long").distinct(), "shared-sums")
+    leads = met.groupBy("s").agg(F.min("key").alias("lead"), F.max("key").alias("other")).where("lead != other").select("s", "lead")
+    candidates = met.join(leads, "s").where("key != lead").select(F.col("key").alias("a"), F.col("lead").alias("b"))
+    blocks = components(candidates, "block-edges").withColumnRenamed("node", "key")
 
-    # The sets of the nodes in blocks, once for each node.
-    inside = spark.sparkContext.broadcast(BitFilter.of(blocks, "node", log2_bits))
+    # The sets of the nodes in blocks, each read from one of its documents.
+    nodes = table.where("node is not null").groupBy("node", "key", "n").agg(F.min("row").alias("row"))
+    members = cut(nodes.join(blocks, "key"), "block-nodes")
+    chosen = spark.sparkContext.broadcast(BitFilter.of(members, "row", log2_bits))
 
     def carry(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, bits, seen = WordHash(), inside.value, set()
+        hashed, bits = WordHash(), chosen.value
         for b in batches:
-            rows = [(node_of(s), s) for s in sets_of(b, hashed) if len(s)]
-            keys = np.asarray([int.from_bytes(x[:8], "big") for x, _ in rows], np.uint64)
-            keep = bits.has(keys)
-            nodes, grams = [], []
-            for (x, s), k in zip(rows, keep, strict=True):
-                if k and x not in seen:
-                    nodes.append(x), grams.append(s.view(np.int64))
-                    if len(seen) < 500_000:
-                        seen.add(x)
-            yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([int.from_bytes(x[:8], "big", signed=True) for x in nodes], pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["name", "key", "grams"])
-
-    carried = narrow.mapInArrow(carry, "name binary, key long, grams array<long>")
-    sets = carried.join(blocks.withColumnRenamed("node", "key"), "key").select("root", F.col("name").alias("node"), "grams").dropDuplicates(["node"])
-    sets = cut(sets.withColumn("size", F.size("grams")), "block-sets")
-    slices = sets.groupBy("root").agg(F.ceil(F.sum("size") / block_grams).cast("int").alias("slices"))
-    dealt = sets.join(slices, "root").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+            texts = b.column(1).filter(pa.array(bits.has(b.column(0).to_numpy().view(np.uint64))))
+            sets = [s for s in sets_of(texts, hashed) if len(s)]
+            yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "grams"])
+
+    slices = members.groupBy("root").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("slices"))
+    places = members.select("node", "root").join(slices, "root")
+    carried = narrow.select("row", "text").mapInArrow(carry, "node binary, grams array<long>")
+    dealt = carried.join(places, "node").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     dealt = dealt.select("root", "node", "grams", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("with"))
     dealt = dealt.select("root", F.least("slice", "with").alias("one"), F.greatest("slice", "with").alias("two"), (F.col("slice") > F.col("with")).cast("int").alias("side"), "node", "grams")
     found = dealt.groupBy("root", "one", "two").applyInArrow(_join(percent), "a binary, b binary")
