@@ -89,7 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             decoded = [hashlib.sha256(x).hexdigest() for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(of_ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = T.StructType([T.StructField("doc_id", coded.schema["doc_id" if "doc_id" in coded.columns else "id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", coded.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return coded.mapInArrow(digests, schema)
 
 

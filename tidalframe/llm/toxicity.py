@@ -122,12 +122,14 @@ class Model:
 
 
 def fit(
-    texts: list[str], labels: list[int], *, dim: int = 8, buckets: int = 1 << 17, passage: int = 16, rounds: int = 12, batch: int = 64, rate: float = 0.3, hard: int = 2, prior: float = 0.5, seed: int = 7
+    texts: list[str], labels: list[int], *, dim: int = 8, buckets: int = 1 << 17, passage: int = 16, rounds: int = 12, batch: int = 64, rate: float = 0.3, hard: int = 2, warm: int = 2, prior: float = 0.5, seed: int = 7
 ) -> Model:
     """Adagrad on embeddings and softmax together.
 
     Each round first finds the passages that decide: the most toxic one of a
-    toxic document, the ``hard`` most toxic ones of a clean document. Every
+    toxic document, the ``hard`` most toxic ones of a clean document. Before
+    the model knows anything, words are judged by their class log-count ratio
+    (those of one document only not at all). Every
     fifth document is set aside; a logistic curve over its margin, for classes
     in the ratio ``prior``, makes the score.
     """
@@ -153,8 +155,15 @@ def fit(
     share = np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()) / hard)
     # A small sample gets more rounds, for about as many updates.
     rounds = max(rounds, -(-800 * batch // max(1, len(docs) * 2))) if vocabulary else 0
-    for _ in range(rounds):
-        value = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0]))[gram], start) / size
+    in_docs = np.zeros((2, len(vocabulary)))
+    for d, k in zip(docs, labels, strict=True):
+        in_docs[k, np.unique(d)] += 1
+    total, each_class = in_docs.sum(axis=0), np.bincount(labels, minlength=2)
+    smooth = 2 * each_class[:, None] / len(docs)
+    ratio = np.log((in_docs[1] + smooth[1]) / each_class[1]) - np.log((in_docs[0] + smooth[0]) / each_class[0])
+    ratio[total < 2] = 0
+    for k in range(rounds):
+        value = ratio if k < warm else np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0]))[gram], start) / size
         picks = []
         for k, (d, r) in enumerate(zip(docs, ranges, strict=True)):
             if len(d):
