@@ -40,12 +40,6 @@ def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     return j.agg(F.try_divide(won, F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"))
 
 
-def average_rank(x: str, key: str | None = None) -> Column:
-    """Ranks from 1, ties averaged, within a key."""
-    part = Window.partitionBy(key if key else F.lit(0))
-    return F.rank().over(part.orderBy(x)) + (F.count("*").over(part.partitionBy(*([key] if key else [F.lit(0)]), x)) - 1) / 2
-
-
 def rank_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Spearman's correlation a key."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -11,7 +11,7 @@ from ..operators import evaluate as E
 from ..operators import folds, linear, ml, simulate, survival
 from ..operators import relational as R
 from ..registry import query, r, r_all, table
-from .analogues import DAILY, MONTHLY, PAIR, WEEKLY, daily, monthly, pair, weekly
+from .analogues import PAIR, WEEKLY, pair, weekly
 
 
 def _by():
