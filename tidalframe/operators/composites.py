@@ -201,3 +201,43 @@ def seasonal_rank(df: DataFrame, key: str, month: Column, x: str) -> DataFrame:
     """Mean by calendar month and its place among the twelve."""
     g = df.groupBy(key, month.alias("m")).agg(F.avg(x).alias("mean"))
     return g.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("mean"), "m")))
+
+
+def roll_offset(df: DataFrame, key: str, order: str, contract: str, near: str, far: str, most: int = 3, least_jump: float = 0.0025, support: float = 0.4) -> DataFrame:
+    """Days by which each key's price jump trails its change of contract: the usual one, 0 without support.
+
+    For each change, the day of 0..``most`` later whose near return differs most
+    from its far return; the key's most frequent such day, if at least
+    ``support`` of its changes agree.
+    """
+    w = W.by(key, order)
+    gap = F.abs(F.col(near) / F.lag(near).over(w) - F.col(far) / F.lag(far).over(w))
+    before = F.lag(contract).over(w)
+    d = df.withColumn("_gap", gap).withColumn("_new", before.isNotNull() & ~before.eqNullSafe(F.col(contract)))
+    ahead = [F.struct(F.coalesce(F.lead("_gap", k).over(w), F.lit(0.0)).alias("g"), F.lit(-k).alias("k")) for k in range(most + 1)]
+    best = d.withColumn("_best", F.greatest(*ahead)).where("_new")
+    votes = best.withColumn("_k", F.when(F.col("_best.g") >= least_jump, -F.col("_best.k"))).groupBy(key).agg(F.mode("_k", True).alias("usual"), F.count("*").alias("changes"), F.collect_list("_k").alias("_all"))
+    agree = F.size(F.filter("_all", lambda v: v == F.col("usual"))) / F.col("changes")
+    return votes.select(key, "changes", F.when(agree >= support, F.col("usual")).otherwise(0).alias("offset"), agree.alias("support"))
+
+
+def orthogonal_residual(df: DataFrame, key: str, y: str, x: str, out: str = "residual") -> DataFrame:
+    """What an earlier signal does not explain, by key."""
+    fit = df.groupBy(key).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    return df.join(fit, key).withColumn(out, F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b")
+
+
+def interval_share(df: DataFrame, key: str, group: str, inside: Column, k: float = 8.0) -> DataFrame:
+    """Each key's share of values inside an interval, shrunk to its group's and the whole's."""
+    i = df.groupBy(key, group).agg(F.sum(inside.cast("double")).alias("_s"), F.count(inside).alias("_n"))
+    g = i.groupBy(group).agg(F.sum("_s").alias("_gs"), F.sum("_n").alias("_gn"))
+    o = g.agg((F.sum("_gs") / F.sum("_gn")).alias("_p"))
+    j = i.join(g, group).join(F.broadcast(o))
+    share = scalars.shrink(F.try_divide("_s", "_n"), F.col("_n"), F.try_divide("_gs", "_gn"), F.col("_gn"), F.col("_p"), k)
+    return j.select(key, share.alias("share"))
+
+
+def dispersed(paths: DataFrame, step: str, value: str, factor: float, tilt: float = 0.0) -> DataFrame:
+    """Paths spread about each step's median by ``factor``, then shifted by ``tilt`` a step."""
+    m = paths.groupBy(step).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    return paths.join(m, step).withColumn(value, F.col("_m") + (F.col(value) - F.col("_m")) * factor + tilt * F.col(step)).drop("_m")

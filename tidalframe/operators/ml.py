@@ -129,13 +129,13 @@ def walk_forward_logit(df: DataFrame, order: str, y: str, xs: list[str], first:
     """Expanding-window probabilities: folds fan out, each fits on rows at least ``embargo`` before it."""
     d = df.select(order, y, *xs)
     n = d.count()
-    folds = [F.struct(F.lit(k).alias("fold"), F.lit(a).alias("a"), F.lit(min(n, a + step)).alias("b")) for k, a in enumerate(range(first, n, step))]
+    folds = [F.struct(F.lit(k).alias("_fold"), F.lit(a).alias("_first"), F.lit(min(n, a + step)).alias("_last")) for k, a in enumerate(range(first, n, step))]
     from .relational import global_row_number
 
-    rows = global_row_number(d, [F.col(order)], "_i").select("*", F.explode(F.array(*folds)).alias("f")).where(F.col("_i") <= F.col("f.b"))
+    rows = global_row_number(d, [F.col(order)], "_i").select("*", F.explode(F.array(*folds)).alias("_f")).where(F.col("_i") <= F.col("_f._last"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = int(pdf["a"].iloc[0])
+        a = int(pdf["_first"].iloc[0])
         pdf = pdf.sort_values("_i")
         known = pdf[(pdf["_i"] <= a - embargo)].dropna()
         test = pdf[pdf["_i"] > a].dropna(subset=xs)
@@ -155,4 +155,4 @@ def walk_forward_logit(df: DataFrame, order: str, y: str, xs: list[str], first:
         return test.assign(p=1 / (1 + np.exp(-v @ b)))[[order, y, "p"]]
 
     schema = d.select(order, y).schema.add("p", "double")
-    return rows.select("*", "f.fold", "f.a").drop("f").groupBy("fold").applyInPandas(fit, schema)
+    return rows.select("*", "_f._fold", "_f._first").drop("_f").groupBy("_fold").applyInPandas(fit, schema)

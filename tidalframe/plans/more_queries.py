@@ -181,3 +181,41 @@ def _(spark, d):
 @query("A23_seasonal_rank", f"WITH {MONTHLY}, g AS (SELECT series_id, CAST(month(month) AS INTEGER) AS m, avg(value) AS mean FROM monthly GROUP BY ALL) SELECT series_id, m, round(mean, 4) + 0.0 AS mean, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mean DESC, m) AS INTEGER) AS place FROM g")
 def _(spark, d):
     return r_all(C.seasonal_rank(monthly(spark, d), "series_id", F.month("month"), "value"), 4)
+
+
+@query("R19_roll_offset", f"""WITH {WEEKLY}, f AS (SELECT series_id, date, value / 1000 AS n1, value / 1000 * (1 + (extract('doy' FROM date) % 10) / 100.0) AS n2, CAST(floor(date_diff('day', DATE '1990-01-05', date) / 91.0) AS INTEGER) AS c FROM weekly),
+    g AS (SELECT *, abs(n1 / lag(n1) OVER w - n2 / lag(n2) OVER w) AS gap, lag(c) OVER w AS b FROM f WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+    a AS (SELECT *, {', '.join(f'coalesce(lead(gap, {k}) OVER w, 0) AS g{k}' if k else 'coalesce(gap, 0) AS g0' for k in range(4))} FROM g WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+    v AS (SELECT series_id, CASE WHEN greatest(g0, g1, g2, g3) < 0.0025 THEN NULL WHEN g0 = greatest(g0, g1, g2, g3) THEN 0 WHEN g1 = greatest(g0, g1, g2, g3) THEN 1 WHEN g2 = greatest(g0, g1, g2, g3) THEN 2 ELSE 3 END AS k FROM a WHERE b IS NOT NULL AND b <> c),
+    n AS (SELECT series_id, k, count(*) AS n, sum(count(*)) OVER (PARTITION BY series_id) AS changes, row_number() OVER (PARTITION BY series_id ORDER BY k IS NULL, count(*) DESC, k) AS place FROM v GROUP BY series_id, k)
+    SELECT series_id, CAST(changes AS BIGINT) AS changes, CAST(CASE WHEN n / changes >= 0.4 THEN k ELSE 0 END AS INTEGER) AS "offset", round(n / changes, 8) + 0.0 AS support FROM n WHERE place = 1""")
+def _(spark, d):
+    f = weekly(spark, d).select("series_id", "date", (F.col("value") / 1000).alias("n1"), (F.col("value") / 1000 * (1 + (F.dayofyear("date") % 10) / 100.0)).alias("n2"), F.floor(F.datediff("date", F.lit("1990-01-05")) / 91).cast("int").alias("c"))
+    return r_all(C.roll_offset(f, "series_id", "date", "c", "n1", "n2"), 8)
+
+
+@query("R25_interval_share", "WITH l AS (SELECT l_suppkey AS s, l_suppkey % 5 AS g, CASE WHEN l_quantity BETWEEN 10 AND 20 THEN 1.0 ELSE 0.0 END AS y FROM lineitem), o AS (SELECT avg(y) AS p FROM l), gr AS (SELECT g, avg(y) AS gp, count(*) AS gn FROM l GROUP BY 1), i AS (SELECT s, g, avg(y) AS ip, count(*) AS n FROM l GROUP BY ALL) SELECT s AS supplier, round((n * ip + 8.0 * ((gn * gp + 8.0 * p) / (gn + 8.0))) / (n + 8.0), 8) + 0.0 AS share FROM i JOIN gr USING (g), o")
+def _(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), (F.col("l_suppkey") % 5).alias("g"), "l_quantity")
+    return r_all(C.interval_share(li, "supplier", "g", F.col("l_quantity").between(10, 20)), 8)
+
+
+@query("T11_orthogonal_residual", f"WITH {PAIR}, c AS (SELECT regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM pair) SELECT CAST(date AS VARCHAR) AS date, round((y - a - b * z) / pi(), 4) + 0.0 AS residual FROM pair, c")
+def _(spark, d):
+    return _text_date(C.orthogonal_residual(pair(spark, d), "series_id", "y", "z").select("date", r(F.col("residual") / F.pi(), 4).alias("residual")))
+
+
+@query("M04_walk_forward_logit")
+def _(spark, d):
+    from ..operators.ml import walk_forward_logit
+
+    w = _by()
+    p = pair(spark, d).select("date", (F.lead("y", 4).over(w) > F.col("y")).cast("int").alias("up"), W.rolling_z("y", w, 26, 13).alias("a"), W.rolling_z("z", w, 26, 13).alias("b"))
+    return _text_date(r_all(walk_forward_logit(p.where("up is not null"), "date", "up", ["a", "b"], 60, 4), 6))
+
+
+@query("G06_dispersion")
+def _(spark, d):
+    from ..operators import simulate
+
+    return r_all(simulate.path_summary(C.dispersed(simulate.gbm_paths(spark, 4.0, 1000, 10, 0.0, 0.2, 7), "step", "value", 1.2, 0.001)), 6)
