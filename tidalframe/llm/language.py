@@ -19,8 +19,6 @@ further columns stay.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,42 +27,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
 
 
-class Grams:
-    """Packed n-grams of words, remembered for a bounded number of them."""
+_LETTER: list[np.ndarray] = []
 
-    def __init__(self, most: int = 300_000):
-        self.most, self.known = most, {}
 
-    def word(self, w: str) -> np.ndarray:
-        out = self.known.get(w)
-        if out is None:
-            if len(self.known) > self.most:
-                self.known.clear()
-            c = np.frombuffer(f" {w} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-            two = (c[:-1] << 21) | c[1:]
-            out = self.known[w] = np.concatenate([c[1:-1], two, (two[:-1] << 21) | c[2:]])
-        return out
+def letters() -> np.ndarray:
+    """Which code points are letters; made once a process."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(_WORDS((text or "").lower()))
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        parts = [self.word(w) for w in words]
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        codes = np.concatenate(parts)
-        order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(n, first)
+
+def gram_codes(text: str | None) -> np.ndarray:
+    """The n-grams of a text, packed: letters, and pairs and triples with word ends as a blank.
+
+    A pair has a letter, a triple one in its middle, so words don't run together.
+    """
+    c = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = letters()[c]
+    c[~letter] = 32
+    two = (c[:-1] << 21) | c[1:]
+    three = (two[:-1] << 21) | c[2:]
+    return np.concatenate([c[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]])
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and their numbers."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
 
 
 def ranked(codes: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """The most frequent n-grams, in order; of equal counts the smaller code."""
-    return codes[np.argsort(-n, kind="stable")[:size]]
+    if len(n) > size:
+        top = n >= np.partition(n, len(n) - size)[len(n) - size]
+        codes, n = codes[top], n[top]
+    return codes[np.lexsort((codes, -n))[:size]]
 
 
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = 400) -> DataFrame:
@@ -72,21 +73,34 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held, rows = Grams(), {}, 0
+        held, sums, rows = {}, {}, 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def reduce() -> None:
             for lang, parts in held.items():
-                codes, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                codes, at = np.unique(codes, return_inverse=True)
-                yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(np.bincount(at, n).astype(np.int64))], ["lang", "code", "n"])
+                codes, n = counted(np.concatenate(parts))
+                before = sums.get(lang)
+                if before is not None:
+                    both = np.concatenate([before[0], codes])
+                    codes, at = np.unique(both, return_inverse=True)
+                    n = np.bincount(at, np.concatenate([before[1], n])).astype(np.int64)
+                sums[lang] = (codes, n)
+            held.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, n) in sums.items():
+                yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+            sums.clear()
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(grams.counts(text))
-                rows += len(held[lang][-1][0])
-            if rows > 1_000_000:
-                yield from out()
-                held, rows = {}, 0
+                held.setdefault(lang, []).append(gram_codes(text))
+                rows += len(held[lang][-1])
+                if rows > 1_000_000:
+                    reduce()
+                    rows = 0
+                    if sum(len(c) for c, _ in sums.values()) > 1_000_000:
+                        yield from out()
+        reduce()
         yield from out()
 
     sums = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -102,15 +116,11 @@ class Model:
         lang = {x: k for k, x in enumerate(self.langs)}
         for x, code, rank in rows:
             self.place[np.searchsorted(self.codes, code), lang[x]] = rank
-        self.grams = Grams()
-
-    def __getstate__(self):
-        return self.__dict__ | {"grams": Grams()}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and how near: 1 is an equal profile, 0 nothing shared."""
-        codes, n = self.grams.counts(text)
-        if len(codes) == 0 or not self.langs or not any(map(str.isalpha, text)):
+        codes, n = counted(gram_codes(text))
+        if len(codes) == 0 or not self.langs:
             return UNKNOWN, 0.0
         mine = ranked(codes, n, self.size)
         at = np.searchsorted(self.codes, mine)
