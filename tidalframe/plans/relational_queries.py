@@ -285,9 +285,9 @@ def _(spark, d):
     return spark.sql("SELECT instrument, category, CAST(grouping(instrument) * 2 + grouping(category) AS INT) AS lvl, sum(net) AS net FROM tf_positions GROUP BY GROUPING SETS ((instrument, category), (instrument), ())")
 
 
-@query("A07_resample", f"WITH {DAILY}, m AS (SELECT series_id, last_day(date) AS month, arg_max(value, date) AS last, CASE WHEN count(value) >= 5 THEN sum(value) END AS total, avg(value) AS mean FROM daily GROUP BY ALL) SELECT series_id, CAST(month AS VARCHAR) AS date, round(last, 8) + 0.0 AS last, round(total, 4) + 0.0 AS total, round(mean, 5) + 0.0 AS mean FROM m")
+@query("A07_resample", f"WITH {DAILY}, m AS (SELECT series_id, last_day(date) AS month, arg_max(value, date) AS last, CASE WHEN count(value) >= 5 THEN sum(value) END AS total, avg(value) AS mean FROM daily GROUP BY ALL) SELECT series_id, CAST(month AS VARCHAR) AS date, round(last, 8) + 0.0 AS last, round(total / pi(), 4) + 0.0 AS total, round(mean / pi(), 5) + 0.0 AS mean FROM m")
 def _(spark, d):
-    g = daily(spark, d).groupBy("series_id", F.last_day("date").alias("date")).agg(F.max_by("value", "date").alias("last"), F.when(F.count("value") >= 5, F.sum("value")).alias("total"), F.avg("value").alias("mean"))
+    g = daily(spark, d).groupBy("series_id", F.last_day("date").alias("date")).agg(F.max_by("value", "date").alias("last"), F.when(F.count("value") >= 5, F.sum("value") / F.pi()).alias("total"), (F.avg("value") / F.pi()).alias("mean"))
     return _text_date(r_all(g, last=8, total=4, mean=5))
 
 

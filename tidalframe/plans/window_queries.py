@@ -31,9 +31,9 @@ def _(spark, d):
     return out(weekly(spark, d), W.rolling_z("x", _by(), 26).alias("z"))
 
 
-@query("W02_bollinger", sql({k: f"CASE WHEN count(value) OVER f >= 26 THEN avg(value) OVER f {s} END" for k, s in (("mid", ""), ("upper", "+ 2 * stddev_pop(value) OVER f"), ("lower", "- 2 * stddev_pop(value) OVER f"))}, digits=4))
+@query("W02_bollinger", sql({k: f"CASE WHEN count(value) OVER f >= 26 THEN (avg(value) OVER f {s}) / pi() END" for k, s in (("mid", ""), ("upper", "+ 2 * stddev_pop(value) OVER f"), ("lower", "- 2 * stddev_pop(value) OVER f"))}, digits=4))
 def _(spark, d):
-    return out(weekly(spark, d), *[e.alias(k) for k, e in W.bollinger("value", _by(), 26).items()], n=4)
+    return out(weekly(spark, d), *[(e / F.pi()).alias(k) for k, e in W.bollinger("value", _by(), 26).items()], n=4)
 
 
 @query("W03_zscore_center", sql({"z": "CASE WHEN count(value) OVER f >= 26 AND stddev_pop(value) OVER f > 0 THEN (value - 250000.0) / stddev_pop(value) OVER f END"}))
