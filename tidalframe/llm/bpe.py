@@ -1,11 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. Tasks split texts into pre-tokens. A chunk of documents becomes one row: its
-   distinct words, and every pre-token's position as a number of a word. So a
-   position costs a byte or two, and a word is sent once for each chunk it
-   occurs in, not once for each occurrence.
-2. Words are shuffled and sorted by word: all rows of a word meet in one task,
-   which encodes it once and gives each chunk its ids.
+   distinct words, dealt to buckets by hash, and every pre-token's position as
+   the number of its word, compressed. So a position costs about a byte and a
+   half, and a word is sent once for each chunk, not for each occurrence.
+2. Words are shuffled by bucket: all rows of a word meet in one task, which
+   encodes it once and gives every chunk its ids.
 3. Ids join back by chunk, and each document is reassembled by position.
 
 Decoding replaces ids by the bytes of the token table. Table and pattern are
@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut_bucketed, small_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,92 +80,137 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _pack(numbers: list[int]) -> bytes:
-    """Low bytes, then high bytes: frequent words have small numbers."""
-    x = np.asarray(numbers, np.uint32)
-    planes = x.view(np.uint8).reshape(-1, 4).T
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed byte planes: small numbers leave the high planes empty."""
+    planes = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
+def pack_lists(flat: bytes, sizes: np.ndarray) -> bytes:
+    """Byte strings as their sizes and their bytes, each compressed."""
+    head = pack(sizes)
+    return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(flat)
+
+
+def unpack_lists(data: bytes) -> tuple[bytes, np.ndarray]:
+    n = 8 + int.from_bytes(data[:8], "little")
+    return zstandard.ZstdDecompressor().decompress(data[n:]), unpack(data[8:n]).astype(np.int64)
+
+
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *, chunk_tokens: int = 1 << 20, chunk_words: int = 1 << 16
-) -> DataFrame:
-    """``id, token_ids array<int>`` for every row of ``docs``."""
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
+    chunk_tokens: int = 1_500_000, chunk_words: int = 130_000, buckets: int = 256, most_known: int = 200_000,
+) -> DataFrame:
+    """``id, token_ids array<int>`` for every row of ``docs``.
+
+    ``chunk_words`` and ``chunk_tokens`` bound a chunk (one document at least),
+    ``most_known`` the words a task remembers at a time. ``buckets`` (at most
+    65536) is how finely words are dealt; more suit larger clusters.
+    """
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["id"]
-    chunk_schema = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type.dataType)), T.StructField("lens", T.ArrayType(T.LongType())),
-        T.StructField("positions", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType())),
-    ])
+    chunk_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type.dataType)), *T.StructType.fromDDL("lens array<long>, positions binary, bucket_of binary, words array<struct<bucket:int,words:binary>>").fields])
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, part, seq = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        ids, lens, flat, known = [], [], [], {}
+        ids, lens, flat, known = [], [], array("I"), {}
 
         def out() -> pa.RecordBatch:
-            row = [pa.array([(part << 32) + seq], pa.int64()), pa.array([ids]), pa.array([lens], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()), pa.array([[w.encode() for w in known]], pa.list_(pa.binary()))]
-            row[1] = row[1].cast(pa.list_(kind))
-            return pa.record_batch(row, ["chunk", "ids", "lens", "positions", "words"])
+            at = np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)
+            # Frequent words get small numbers; within a bucket, words stand in this order.
+            order = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
+            number = np.empty(len(known), np.uint32)
+            number[order] = np.arange(len(known), dtype=np.uint32)
+            words = [w.encode() for w in known]
+            words = [words[k] for k in order]
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+            by, used = np.argsort(bucket, kind="stable"), np.unique(bucket)
+            ends = np.searchsorted(bucket[by], used, side="right").tolist()
+            rows = [(b, [words[k] for k in by[lo:hi]]) for b, lo, hi in zip(used.tolist(), [0, *ends[:-1]], ends, strict=True)]
+            packed = [{"bucket": b, "words": pack_lists(b"".join(ws), np.fromiter(map(len, ws), np.uint32, len(ws)))} for b, ws in rows]
+            columns = [pa.array([(part << 32) + seq], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([lens], pa.list_(pa.int64())), pa.array([pack(number[at])], pa.binary()), pa.array([pack(bucket)], pa.binary()), pa.array([packed], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))]
+            return pa.record_batch(columns, chunk_schema.names)
 
         for b in batches:
             kind = b.schema.field(0).type
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = find(text) if text else []
                 ids.append(i), lens.append(len(words))
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                flat += map(known.__getitem__, words)
-                if len(flat) >= chunk_tokens or len(known) >= chunk_words or len(ids) >= 50_000:
+                for w in set(words).difference(known):
+                    known[w] = len(known)
+                flat.extend(map(known.__getitem__, words))
+                if len(flat) >= chunk_tokens or len(known) >= chunk_words:
                     yield out()
                     seq += 1
-                    ids, lens, flat, known = [], [], [], {}
+                    ids, lens, flat, known = [], [], array("I"), {}
         if ids:
             yield out()
 
     table = spark.sparkContext.broadcast(ranks)
 
-    def encode_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, word, ids = table.value, None, b""
+    def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, known, here = table.value, {}, None
         for b in batches:
-            out = []
-            for w in b.column(2).to_pylist():
-                if w != word:
-                    word, ids = w, np.asarray(encode_word(w, known), np.int32).tobytes()
-                out.append(ids)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "k", "ids"])
-
-    chunks = cut(narrow.mapInArrow(split, chunk_schema), "bpe-chunks")
-    words = chunks.select("chunk", F.posexplode("words").alias("k", "word"))
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(encode_sorted, "chunk long, k int, ids binary")
-    # One row of all a chunk's words: bounded by chunk_words or one document's words.
-    coded = coded.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("coded")).select("chunk", F.col("coded.ids").alias("coded"))
-    both = chunks.select("chunk", "ids", "lens", "positions").join(coded, "chunk", "left")
+            for chunk, bucket, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != here:  # rows come bucket by bucket: its words are done
+                    known, here = {}, bucket
+                flat, size = unpack_lists(packed)
+                ends, out = np.cumsum(size).tolist(), []
+                for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+                    w = flat[lo:hi]
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= most_known:
+                            known.clear()
+                        ids = known[w] = np.asarray(encode_word(w, ranks), np.uint32).tobytes()
+                    out.append(ids)
+                n = np.fromiter(map(len, out), np.uint32, len(out)) // 4
+                planes = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T
+                coded = pack_lists(np.ascontiguousarray(planes).tobytes(), n)
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([coded], pa.binary())], ["chunk", "bucket", "coded"])
+
+    split_up = narrow.mapInArrow(split, chunk_schema)
+    # Chunks stay where they are written: only words and ids travel.
+    homes = max(2, 2 * split_up.rdd.getNumPartitions())
+    chunks = cut_bucketed(split_up, "bpe-chunks", "chunk", homes)
+    words = chunks.select("chunk", F.inline("words")).select("chunk", "bucket", "words")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "chunk long, bucket int, coded binary")
+    coded = coded.repartition(homes, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "coded"))).alias("coded"))
+    both = chunks.select("chunk", "ids", "lens", "positions", "bucket_of").join(coded, "chunk", "left")
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, lens, at, coded = (b.column(c)[r] for c in (1, 2, 3, 4))
-                coded = coded.as_py() or []
-                size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                flat, start = np.frombuffer(b"".join(coded), np.int32), np.concatenate([[0], np.cumsum(size)])
-                at, lens = _unpack(at.as_py()).astype(np.int64), np.asarray(lens.as_py(), np.int64)
-                n = size[at]
-                ends = np.cumsum(n)
-                tokens = flat[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-                bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
-                ids, lo = ids.values, 0
-                while lo < len(ids):  # batches of some million ids
-                    hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + (1 << 20))) - 1)
-                    hi = min(hi, len(ids))
-                    cutout = pa.ListArray.from_arrays(pa.array((bounds[lo : hi + 1] - bounds[lo]).astype(np.int32)), pa.array(tokens[bounds[lo] : bounds[hi]]))
-                    yield pa.record_batch([ids[lo:hi], cutout], ["id", "token_ids"])
+                ids, lens, at, bucket, coded = (b.column(c)[r] for c in range(1, 6))
+                bucket = unpack(bucket.as_py())
+                parts = [unpack_lists(x["coded"]) for x in coded.as_py() or []]
+                tokens = [np.ascontiguousarray(np.frombuffer(f, np.uint8).reshape(4, -1).T).view(np.int32).ravel() for f, _ in parts]
+                # Words lie bucket by bucket here; the numbers of positions are those of the whole chunk.
+                by = np.argsort(bucket, kind="stable")
+                size = np.empty(len(by), np.int64)
+                start = np.empty(len(by), np.int64)
+                n = np.concatenate([s for _, s in parts]) if parts else np.zeros(0, np.int64)
+                size[by], start[by] = n, np.cumsum(n) - n
+                flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+                at = unpack(at.as_py()).astype(np.int64)
+                lens = np.asarray(lens.as_py(), np.int64)
+                bounds, ids = np.concatenate([[0], np.cumsum(lens)]), ids.values
+                lo = 0
+                while lo < len(ids):  # some hundred thousand words at a time
+                    hi = min(len(ids), max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + 300_000)) - 1))
+                    mine = at[bounds[lo] : bounds[hi]]
+                    n = size[mine]
+                    ends = np.cumsum(n)
+                    out = flat[np.repeat(start[mine] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                    ends = np.concatenate([[0], ends])[bounds[lo : hi + 1] - bounds[lo]]
+                    yield pa.record_batch([ids[lo:hi], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], ["id", "token_ids"])
                     lo = hi
 
     schema = T.StructType([id_type, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -182,7 +229,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_id
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = table.value.__getitem__
         for b in batches:
-            out = [None if x is None else b"".join(map(token, x)) for x in b.column(at).to_pylist()]
+            ids, out = b.column(at), []
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            for k, known in enumerate(ids.is_valid().to_pylist()):
+                out.append(b"".join(map(token, flat[ends[k] : ends[k + 1]].tolist())) if known else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(join, schema)

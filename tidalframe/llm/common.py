@@ -49,6 +49,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like ``cut``, bucketed by ``key``: a later join by ``key`` need not shuffle these rows again."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidalframe/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    _written.append(path)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that ``cut`` wrote; their readers must be done."""
     jvm = spark.sparkContext._jvm
@@ -57,6 +67,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Hand Python at most ``most`` bytes at a time, in this session from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
