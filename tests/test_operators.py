@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidalframe.operators import evaluate, folds, linear, optimize, simulate, survival
 from tidalframe.operators import relational as R
 from tidalframe.sources import files
@@ -63,6 +64,19 @@ def test_panel_of_weeks(spark):
     assert p[52].issues_trailing_52w == 3 and p[53].issues_trailing_52w == 1
 
 
+def test_grid_query_holds_every_issuer(spark, tmp_path):
+    day, end = dt.date(1995, 1, 3), dt.date(1995, 1, 3) + dt.timedelta(weeks=70)
+    orders = [(k, day + dt.timedelta(weeks=w)) for k in range(1, 13) for w in (k % 4, k % 4, 20 + k, 60)] + [(3, end)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    want = set()
+    for k in range(1, 13):
+        at = [(d - day).days // 7 for i, d in orders if i == k]
+        for w in range(min(at) + 1, 71):
+            want.add((k, w, int(w in at), w - max(a for a in at if a < w), sum(w - 52 <= a < w for a in at)))
+    got = entry.queries()["R23_issuer_week_grid_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_horizons(spark):
     h = spark.createDataFrame([("i", 1, 0.1), ("i", 2, 0.2), ("i", 3, 0.3)], "k string, s int, hazard double")
     p = lambda spec: survival.timing_probability(h, "k", "s", spec).first().probability

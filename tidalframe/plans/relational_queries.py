@@ -220,6 +220,17 @@ def _(spark, d):
     return build_panel(ev, "issuer", "wk", "n").where("issuer % 10 = 1").select("issuer", "wk", "y", "weeks_since_last", "issues_trailing_52w")
 
 
+@query("R23_issuer_week_grid_whole", """WITH ev AS (SELECT o_custkey AS issuer, CAST(floor(date_diff('day', DATE '1995-01-03', CAST(o_orderdate AS DATE)) / 7.0) AS INTEGER) AS wk, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-03' GROUP BY ALL),
+    span AS (SELECT issuer, min(wk) AS a FROM ev GROUP BY 1), top AS (SELECT max(wk) AS b FROM ev), g AS (SELECT issuer, a, CAST(w AS INTEGER) AS wk FROM span, top, unnest(range(a, b + 1)) AS r(w)),
+    f AS (SELECT g.issuer, g.wk, g.a, e.n, max(CASE WHEN e.n > 0 THEN g.wk END) OVER (PARTITION BY g.issuer ORDER BY g.wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, sum(e.n) OVER (PARTITION BY g.issuer ORDER BY g.wk ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS trail
+        FROM g LEFT JOIN ev AS e ON e.issuer = g.issuer AND e.wk = g.wk)
+    SELECT issuer, wk, CASE WHEN n > 0 THEN 1 ELSE 0 END AS y, least(wk - prev, 260) AS weeks_since_last, CAST(coalesce(trail, 0) AS BIGINT) AS issues_trailing_52w FROM f WHERE wk > a""")
+def _(spark, d):
+    from ..operators.survival import build_panel
+
+    return build_panel(_events(spark, d), "issuer", "wk", "n").select("issuer", "wk", "y", "weeks_since_last", "issues_trailing_52w")
+
+
 @query("J13_asof_forward", "SELECT e.event_id, round(p.value, 8) + 0.0 AS price FROM (SELECT * FROM events WHERE event_type = 'click') AS e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ALL) AS p ON e.user_id = p.user_id AND e.ts <= p.ts")
 def _(spark, d):
     e = table(spark, d, "events")
