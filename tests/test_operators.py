@@ -77,6 +77,14 @@ def test_grid_query_holds_every_issuer(spark, tmp_path):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_hazard_link_query_holds_every_order(spark, tmp_path):
+    orders = [(k, 30000.0 * k) for k in range(25)]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.h for r in entry.queries()["F07_hazard_link_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {k for k, _ in orders}
+    assert all(math.isclose(h, 1 - math.exp(-math.exp(max(-0.3 * k, -30))), abs_tol=1e-8) for k, h in got.items())
+
+
 def test_horizons(spark):
     h = spark.createDataFrame([("i", 1, 0.1), ("i", 2, 0.2), ("i", 3, 0.3)], "k string, s int, hazard double")
     p = lambda spec: survival.timing_probability(h, "k", "s", spec).first().probability

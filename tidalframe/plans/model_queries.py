@@ -54,6 +54,11 @@ def _(spark, d):
     return table(spark, d, "orders").where("o_orderkey % 10 = 3").select("o_orderkey", r(scalars.cloglog_inverse(-F.col("o_totalprice") / 100000), 8).alias("h"))
 
 
+@query("F07_hazard_link_whole", "SELECT o_orderkey, round(1 - exp(-exp(greatest(least(-o_totalprice / 100000, 5), -30))), 8) + 0.0 AS h FROM orders")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", r(scalars.cloglog_inverse(-F.col("o_totalprice") / 100000), 8).alias("h"))
+
+
 @query("F09_shrunk_rates", """WITH l AS (SELECT l_suppkey AS s, l_suppkey % 5 AS g, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), o AS (SELECT avg(y) AS p FROM l), gr AS (SELECT g, avg(y) AS gp, count(*) AS gn FROM l GROUP BY 1), i AS (SELECT s, g, avg(y) AS ip, count(*) AS n FROM l GROUP BY ALL)
     SELECT s AS supplier, round((n * ip + 8.0 * ((gn * gp + 8.0 * p) / (gn + 8.0))) / (n + 8.0), 8) + 0.0 AS rate FROM i JOIN gr USING (g), o""")
 def _(spark, d):
