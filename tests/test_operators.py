@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidalframe.operators import evaluate, folds, linear, optimize, simulate, survival
+from tidalframe.operators import evaluate, folds, linear, ml, optimize, simulate, survival
 from tidalframe.operators import relational as R
 from tidalframe.sources import files
 
@@ -93,6 +93,24 @@ def test_horizons(spark):
     assert np.allclose(s, [0.9, 0.72, 0.504])
 
 
+def test_ordered_logit_reaches_the_optimum(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.12, (1500, 2))
+    y = np.digitize(x @ [6.0, -4.0] + rng.logistic(size=1500), [-0.7, 0.9])
+    df = spark.createDataFrame([(int(k), float(a), float(b)) for k, (a, b) in zip(y, x, strict=True)], "y int, a double, b double")
+    fit = ml.ordered_logit(df, "y", ["a", "b"])
+
+    def loss(t):
+        cum = 1 / (1 + np.exp(-(t[2:] - (x @ t[:2])[:, None])))
+        p = np.column_stack([cum[:, 0], cum[:, 1] - cum[:, 0], 1 - cum[:, 1]])[np.arange(1500), y]
+        return -np.log(p).mean() + 1e-3 / 2 * (t[:2] ** 2).sum()
+
+    slope = [(loss(fit + e) - loss(fit - e)) / 2e-5 for e in 1e-5 * np.eye(4)]
+    assert np.abs(slope).max() < 1e-7
+    with pytest.warns(UserWarning, match="after 2 rounds"):
+        ml.ordered_logit(df, "y", ["a", "b"], rounds=2)
+
+
 def test_ew_moments_against_pandas():
     v = np.array([1.0, 2.0, np.nan, 4.0, 3.0, 8.0])
     mean, var, _ = folds.ew_moments(v, 3)
