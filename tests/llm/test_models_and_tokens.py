@@ -171,6 +171,44 @@ def test_quotes_and_reply_order(spark):
     assert chat.quote_lines("> > a\n>b\nc") == [(2, "a"), (1, "b"), (0, "c")]
 
 
+def links(spark, rows):
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    return {(r.conv, r.row): (tuple(r.parent) if r.parent else None, r.quoted) for r in chat.link_messages(table).collect()}
+
+
+def test_quotes_of_parts(spark):
+    first = "One apple a day.\n\nTwo pears at night,\nthree plums at noon,\nfour figs at dawn.\n\nFive nuts."
+    rows = [
+        ("a", 1, "x", first), ("a", 2, "y", "Something else."),
+        ("a", 3, "x", "> One apple a day.\n>\n> Two pears at night,\n> three plums at noon,\n> four figs at dawn.\n\nTwo paragraphs."),
+        ("a", 4, "y", "> Two pears at night,\n> three plums at noon,\n\nTwo lines."),
+        ("a", 5, "x", "> Something else.\nleft one\nleft two\n> One apple a day.\nright one\nright two"),
+        ("a", 6, "y", "five nuts.\n"), ("a", 7, "x", "Filler."),
+        ("a", 8, "y", "> left one\n> left two\nA passage between quotes, wrapped as it was."),
+        ("a", 9, "x", "> right one right two\nA passage wrapped anew."),
+        ("a", 10, "y", "> Two pears at night,\n> Five nuts.\nThe first holds more than the sixth."),
+        ("a", 11, "x", "> Five nuts.\n> and many other words that nobody wrote\nLess than half."),
+        ("b", 1, "z", "> three plums at noon,\n> four figs at dawn.\nFrom elsewhere."),
+    ]
+    got = links(spark, rows)
+    want = {3: 1, 4: 1, 8: 5, 9: 5, 10: 1}
+    assert {k: got["a", k] for k in want} == {k: (("a", v), True) for k, v in want.items()}
+    assert got["a", 11] == (("a", 10), False) and got["b", 1] == (("a", 1), True)
+
+
+def test_best_earlier_against_all_messages():
+    rng = random.Random(8)
+    for _ in range(300):
+        run = chat.pieces("\n".join(rng.choice(["a b", "c", "d e f", "", "g"]) for _ in range(rng.randint(1, 6))).strip())
+        if not run:
+            continue
+        held = {m: {k for k, _, _ in run if rng.random() < 0.4} for m in range(1, 9)}
+        rows_of = {k: [m for m in held if k in held[m]] for k, _, _ in run}
+        want = max(((chat.covered([(lo, hi) for k, lo, hi in run if k in held[m]]), m) for m in range(1, 6) if held[m]), default=(0, None))
+        whole = [m for m in range(1, 6) if run[0][0] in held[m]]  # the run as it is comes before its scattered pieces
+        assert chat.best_earlier(6, run, rows_of) == ((run[0][2], max(whole)) if whole else want)
+
+
 def test_ranks_file(ranks):
     line = base64.b64encode(b"a").decode()
     assert line and ranks[b"a"] < 256 and len(ranks) == 50256
