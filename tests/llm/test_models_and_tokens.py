@@ -196,6 +196,19 @@ def test_quotes_of_parts(spark):
     assert got["a", 11] == (("a", 10), False) and got["b", 1] == (("a", 1), True)
 
 
+def test_quotes_across_conversations_and_without_one(spark):
+    rows = [
+        ("a", 1, "x", "> shared words\nAsked before its own conversation holds them."), ("a", 2, "y", "shared words"),
+        ("b", 7, "z", "shared words"), ("c", 9, "z", "shared words"), ("d", 3, "z", "> shared words\nFirst holder is in a."),
+        (None, 1, "u", "no conversation"), (None, 2, "v", "filler"), (None, 3, "w", "> no conversation\nInside."), ("e", 1, "t", "> no conversation\nFrom outside."),
+        (None, 4, "w", "> shared words\nTo another."),
+    ]
+    got = links(spark, rows)
+    assert got["a", 1] == (("b", 1), True) and got["d", 1] == (("a", 2), True)
+    assert got[None, 3] == ((None, 1), True) and got["e", 1] == ((None, 1), True) and got[None, 4] == (("a", 2), True)
+    assert len(got) == len(rows)
+
+
 def test_best_earlier_against_all_messages():
     rng = random.Random(8)
     for _ in range(300):
