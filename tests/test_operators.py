@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -111,6 +112,15 @@ def test_ordered_logit_reaches_the_optimum(spark):
         ml.ordered_logit(df, "y", ["a", "b"], rounds=2)
 
 
+def test_simulations_have_the_reference_size(spark, tmp_path):
+    q, none = entry.queries(), str(tmp_path)
+    assert {r.n for r in q["G02_G03_paths"](spark, none).select("n").collect()} == {10000}
+    whole = simulate.desk_metrics(simulate.gbm_paths(spark, 4.0, 10000, 30, 0.0, 0.2, 42), 4.2, 0.95).first()
+    assert np.allclose(q["G04_desk_metrics"](spark, none).first(), whole, atol=1e-6)
+    if Path("/root/testdata/sf0.001").exists():
+        assert q["M10_block_bootstrap"](spark, "/root/testdata/sf0.001").first().n == 2000
+
+
 def test_ew_moments_against_pandas():
     v = np.array([1.0, 2.0, np.nan, 4.0, 3.0, 8.0])
     mean, var, _ = folds.ew_moments(v, 3)

@@ -433,7 +433,7 @@ def _(spark, d):
 
 @query("M10_block_bootstrap")
 def _(spark, d):
-    return r_all(simulate.block_bootstrap(pair(spark, d), "date", "spread", 13, 200, 42))
+    return r_all(simulate.block_bootstrap(pair(spark, d), "date", "spread", 13, 2000, 42))
 
 
 @query("M14_purged_cross_validation")
@@ -451,12 +451,12 @@ def _(spark, d):
 
 @query("G02_G03_paths")
 def _(spark, d):
-    return r_all(simulate.path_summary(simulate.heston_paths(spark, 4.0, 2000, 30, {"kappa": 4.0, "theta": 0.04, "xi": 0.3, "rho": -0.5, "v0": 0.04, "mu": 0.0}, 42)), 6)
+    return r_all(simulate.path_summary(simulate.heston_paths(spark, 4.0, 10000, 30, {"kappa": 4.0, "theta": 0.04, "xi": 0.3, "rho": -0.5, "v0": 0.04, "mu": 0.0}, 42)), 6)
 
 
 @query("G04_desk_metrics")
 def _(spark, d):
-    return r_all(simulate.desk_metrics(simulate.gbm_paths(spark, 4.0, 2000, 30, 0.0, 0.2, 42), 4.2, 0.95), 6)
+    return r_all(simulate.desk_metrics(simulate.gbm_paths(spark, 4.0, 10000, 30, 0.0, 0.2, 42), 4.2, 0.95), 6)
 
 
 @query("T05_arima")
