@@ -40,10 +40,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, token_ids, n_tokens`` of the documents that are left."""
+    """``doc_id, token_ids, n_tokens, decoded_sha256`` of the documents that are left: the digest is that of the bytes decoded from the ids."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return coded.select(F.col("id").alias("doc_id"), "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    decoded = bpe.decode(coded.select(F.col("id").alias("doc_id"), "token_ids"), ranks)
+    return decoded.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("decontaminate", drop_benchmark), ("byte_bpe", encode)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 import public_tokenizers
@@ -39,5 +40,11 @@ def test_run_against_plain_rules(spark):
     assert got == want and 0 < len(got) < docs.count()
 
 
+def test_last_stage_decodes(spark):
+    texts = [(1, "Plain words, twice: plain words."), (2, "éß ñ 你好 \n\t 12"), (3, ""), (4, None)]
+    got = corpus_pipeline.encode(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts}
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontaminate", "byte_bpe"]
