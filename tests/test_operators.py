@@ -213,3 +213,71 @@ def test_feed_formats(spark):
     df = spark.createDataFrame([("r", rss), ("a", atom)], "s string, t string")
     rows = {r.source: r for r in files.feed_items(df, "t", F.col("s")).collect()}
     assert rows["r"].url == "http://x/1" and rows["a"].url == "http://x/2" and rows["r"].ts is not None and rows["a"].ts is not None
+
+
+def test_global_ranks_do_not_depend_on_where_ranges_are_cut(spark):
+    n = 400_000
+    df = spark.range(n, numPartitions=7).select(F.col("id").alias("i"), (F.xxhash64("id") % 50_000 / 1000).alias("p"), (F.xxhash64("id", F.lit(3)) % 3 == 0).cast("int").alias("y"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = evaluate.auc(df, "y", "p").first().auc
+        ranked = R.global_row_number(df, [F.col("p"), F.col("i")], "k").orderBy("k").select("p", "i", "k").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    pdf = df.toPandas()
+    rank = pdf["p"].rank().to_numpy()
+    pos = pdf["y"].to_numpy() == 1
+    want = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert math.isclose(got, want, rel_tol=1e-12)
+    assert (ranked["k"].to_numpy() == np.arange(1, n + 1)).all()
+    assert ranked[["p", "i"]].to_numpy().tolist() == pdf[["p", "i"]].sort_values(["p", "i"]).to_numpy().tolist()
+
+
+def test_change_points_by_listing_every_segmentation():
+    rng = np.random.default_rng(4)
+    x, hazard, recent = np.concatenate([rng.normal(0, 0.3, 4), rng.normal(4, 0.3, 5)]), 0.2, 2
+
+    def predictive(v, run):
+        kappa, alpha = 1 + len(run), 1 + len(run) / 2
+        mu = sum(run) / kappa
+        beta = 1 + 0.5 * (sum(r * r for r in run) - kappa * mu * mu)
+        s, d = math.sqrt(beta * (kappa + 1) / (alpha * kappa)), 2 * alpha
+        return math.gamma((d + 1) / 2) / math.gamma(d / 2) / math.sqrt(d * math.pi) / s * (1 + ((v - mu) / s) ** 2 / d) ** (-(d + 1) / 2)
+
+    got = folds.bocpd(x, hazard, recent)
+    for t in range(1, len(x) + 1):
+        mass = {}
+        for bits in range(1 << t):  # whether a run ends after each value
+            p, run = 1.0, []
+            for k in range(t):
+                p *= predictive(x[k], run)
+                run = [*run, x[k]]
+                end = bits >> k & 1
+                p *= hazard if end else 1 - hazard
+                run = [] if end else run
+            mass[len(run)] = mass.get(len(run), 0.0) + p
+        assert math.isclose(got[t - 1], sum(p for n, p in mass.items() if n <= recent) / sum(mass.values()), rel_tol=1e-9)
+
+
+def test_barometer_moves_before_its_chart():
+    b = folds.Barometer()
+    alerts = [b.update(v) for v in (90.0, 90.0, 10.0)]
+    means, sums = [], []
+    for n, total in ((1, 90.0), (2, 180.0), (3, 190.0)):
+        means.append((57 / 180 + total / 120) / (1 / 180 + n / 120))
+    up = max(0, 90 - means[0] - 3)
+    sums.append(up)
+    assert alerts[0] == (1 if up > 15 else 0) == 0 and math.isclose(b.mean, means[2])
+    assert math.isclose(b.var, 1 / (1 / 180 + 3 / 120))
+    assert alerts[1] == (1 if up + 90 - means[1] - 3 > 15 else 0) and alerts[2] == -1 and b.down == 0.0
+
+
+def test_phase_of_a_cosine_advances():
+    period = 20
+    osc = np.cos(2 * np.pi * np.arange(60) / period)
+    p = folds.hilbert_phase(osc, period)
+    assert p["phase"][0] == 0 and p["amplitude"][0] == osc[0]
+    quad = (osc[:-1] - osc[1:]) / (2 * math.sin(math.pi / period))
+    assert np.allclose(np.diff(np.unwrap(np.arctan2(quad, osc[1:]))).mean(), 2 * np.pi / period, atol=0.01)
+    assert np.allclose(p["sine"][1:], np.sin(np.arctan2(quad, osc[1:])))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..session import written
 
 
 def regression_scores(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -27,11 +28,12 @@ def classification_scores(df: DataFrame, y: str, p: str, at: float = 0.5) -> Dat
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Area under the ROC curve: pairs won, ties half. Counted over distinct scores, so no global sort of rows.
 
-    The running count needs an order over distinct scores: they are summed by
-    range partition first, and only partition totals meet in one task.
+    The running count needs an order over distinct scores: they are dealt by
+    range and written once, so that the counts inside and before a range are of
+    the same ranges; only range totals meet in one task.
     """
     g = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
-    part = g.repartitionByRange("_p").withColumn("_k", F.spark_partition_id())
+    part = written(g.repartitionByRange("_p").withColumn("_k", F.spark_partition_id()))
     inside = part.withColumn("_low", F.coalesce(F.sum("_neg").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = part.groupBy("_k").agg(F.sum("_neg").alias("_n"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_k", "_before")

@@ -1,7 +1,7 @@
 """Ordered, stateful folds over one series at a time.
 
-Small state machines fold a sorted array with ``aggregate`` inside the JVM;
-recursions with more state run in ``applyInPandas``, one group a series. A
+Where the state is the last one set, a window finds it; other recursions run
+in ``applyInPandas``, one group a series, in one pass over its rows. A
 series' rows meet in one task because a causal recursion is sequential; the
 parallelism is over series.
 """
@@ -13,37 +13,35 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fold_states(df: DataFrame, key: str, order: str, value: str, step: Callable[[Column, Column], Column], start: Column, out: str) -> DataFrame:
-    """``out``: the state after each row, ``step(state, value)`` folded in order inside the JVM."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_rows"))
-    zero = F.array(start)
-    states = F.aggregate("_rows", F.slice(zero, 1, 0), lambda acc, row: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), start), row[value]))))
-    return rows.withColumn("_s", states).select(key, F.explode(F.arrays_zip("_rows", "_s")).alias("_x")).select(key, F.col(f"_x._rows.{order}").alias(order), F.col(f"_x._rows.{value}").alias(value), F.col("_x._s").alias(out))
-
-
 def hysteresis(df: DataFrame, key: str, order: str, z: str, entry: float = 2.0, leave: float = 0.5, out: str = "signal") -> DataFrame:
-    """-1 above ``entry``, +1 below ``-entry``, 0 within ``leave``; flips at once; null keeps the state."""
-
-    def step(state: Column, v: Column) -> Column:
-        return F.when(v.isNull(), state).when(v >= entry, -1).when(v <= -entry, 1).when(F.abs(v) <= leave, 0).otherwise(state)
+    """-1 above ``entry``, +1 below ``-entry``, 0 within ``leave``; flips at once; null keeps the state.
 
-    return fold_states(df, key, order, z, step, F.lit(0), out)
+    Every value beyond or within sets the state whatever it was, so the state is the last one set.
+    """
+    v, w = F.col(z), Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sets = F.when(v >= entry, -1).when(v <= -entry, 1).when(F.abs(v) <= leave, 0)
+    return df.select(key, order, z, F.coalesce(F.last(sets, ignorenulls=True).over(w), F.lit(0)).alias(out))
 
 
 def contrarian(df: DataFrame, key: str, order: str, z: str, entry: float = 1.5, leave: float = 0.5, out: str = "stance") -> DataFrame:
     """Strict entry from flat, one-sided exit, no flip; null keeps the state."""
 
-    def step(state: Column, v: Column) -> Column:
-        flat = F.when(v > entry, -1).when(v < -entry, 1).otherwise(0)
-        short, long = F.when(v < leave, 0).otherwise(-1), F.when(v > -leave, 0).otherwise(1)
-        return F.when(v.isNull(), state).when(state == 0, flat).when(state == -1, short).otherwise(long)
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, states = 0, []
+        for v in known(pdf[z])[0]:
+            if state and v * -state < leave:
+                state = 0
+            elif not state and abs(v) > entry:
+                state = -1 if v > 0 else 1
+            states.append(state)
+        return pdf.assign(**{out: states})
 
-    return fold_states(df, key, order, z, step, F.lit(0), out)
+    return grouped(df.select(key, order, z), key, order, {out: "int"}, f)
 
 
 def grouped(df: DataFrame, key: str, order: str, outputs: dict[str, str], f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -197,10 +195,14 @@ def local_linear_trend(df: DataFrame, key: str, order: str, x: str, fixed: tuple
 # --- recursive filters ------------------------------------------------------------
 
 
+#: The published filters round the root of 2 and its half so.
+ROOT_2, HALF_ROOT_2 = 1.414, 0.707
+
+
 def supersmoother(x: np.ndarray, period: float) -> np.ndarray:
-    """Two-pole low pass: public Butterworth recursion of the given period."""
-    a = math.exp(-math.sqrt(2) * math.pi / period)
-    c2, c3 = 2 * a * math.cos(math.sqrt(2) * math.pi / period), -a * a
+    """Two-pole low pass of the given period."""
+    a = math.exp(-ROOT_2 * math.pi / period)
+    c2, c3 = 2 * a * math.cos(ROOT_2 * math.pi / period), -a * a
     c1, out = 1 - c2 - c3, np.array(x, float)
     for k in range(2, len(x)):
         out[k] = c1 * (x[k] + x[k - 1]) / 2 + c2 * out[k - 1] + c3 * out[k - 2]
@@ -209,7 +211,7 @@ def supersmoother(x: np.ndarray, period: float) -> np.ndarray:
 
 def highpass(x: np.ndarray, period: float) -> np.ndarray:
     """Two-pole high pass of the given period."""
-    w = math.sqrt(2) / 2 * 2 * math.pi / period
+    w = HALF_ROOT_2 * 2 * math.pi / period
     a = (math.cos(w) + math.sin(w) - 1) / math.cos(w)
     out = np.zeros(len(x))
     for k in range(2, len(x)):
@@ -221,23 +223,26 @@ def roofing(x: np.ndarray, low: float, high: float) -> np.ndarray:
     return supersmoother(highpass(x, high), low)
 
 
-def hilbert_phase(osc: np.ndarray, period: float) -> dict[str, np.ndarray]:
-    """Causal phase: the quadrature is the scaled backward difference."""
-    quad = np.concatenate([[np.nan], np.diff(osc)]) * period / (2 * math.pi)
+def hilbert_phase(osc: np.ndarray, period: float = 20) -> dict[str, np.ndarray]:
+    """Causal phase: the quadrature is the fall since the last row, to the scale of a cosine of this period (0 on the first row)."""
+    quad = np.zeros(len(osc))
+    quad[1:] = (osc[:-1] - osc[1:]) / (2 * math.sin(math.pi / period))
     phase = np.arctan2(quad, osc)
     return {"amplitude": np.hypot(osc, quad), "phase": phase, "sine": np.sin(phase), "lead": np.sin(phase + math.pi / 4)}
 
 
-def cycle_filters(df: DataFrame, key: str, order: str, x: str, low: float = 10, high: float = 48) -> DataFrame:
+def cycle_filters(df: DataFrame, key: str, order: str, x: str, low: float = 10, high: float = 48, period: float = 20) -> DataFrame:
     """``smooth, band, amplitude, phase, sine, lead``; nulls are left out of the recursions."""
     cols = ["smooth", "band", "amplitude", "phase", "sine", "lead"]
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         v, at = known(pdf[x])
         out = {c: np.full(len(v), np.nan) for c in cols}
+        if at.sum() < 3:
+            return pdf.assign(**out)
         band = roofing(v[at], low, high)
         out["smooth"][at], out["band"][at] = supersmoother(v[at], low), band
-        for name, values in hilbert_phase(band, (low * high) ** 0.5).items():
+        for name, values in hilbert_phase(band, period).items():
             out[name][at] = values
         return pdf.assign(**out)
 
@@ -247,27 +252,28 @@ def cycle_filters(df: DataFrame, key: str, order: str, x: str, low: float = 10,
 # --- change points and control charts ------------------------------------------------
 
 
-def bocpd(x: np.ndarray, hazard: float = 1 / 100, recent: int = 4, most: int = 300) -> np.ndarray:
-    """Chance that the current run began within the last ``recent`` rows (normal-inverse-gamma prior).
+def bocpd(x: np.ndarray, hazard: float = 1 / 100, recent: int = 4) -> np.ndarray:
+    """Chance that the current run began within the last ``recent`` rows.
 
-    Runs longer than ``most`` share one last bin, so a row costs bounded work.
+    Values of a run are normal with a normal-inverse-gamma prior (0, 1, 1, 1),
+    so their predictive is Student's t. All run lengths are kept: exact, and
+    quadratic in the length of the series. Where no run can explain a value
+    (all likelihoods vanish), a new run begins for sure. Unknown values are passed over.
     """
-    out = np.full(len(x), np.nan)
-    weight, mu, kappa, alpha, beta = np.array([1.0]), np.array([0.0]), np.array([1.0]), np.array([1.0]), np.array([1.0])
-    for k, v in enumerate(x):
-        if not math.isfinite(v):
-            continue
-        scale2, dof = beta * (kappa + 1) / (alpha * kappa), 2 * alpha
-        half = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in dof])
-        like = np.exp(half - 0.5 * np.log(dof * math.pi * scale2) - (dof + 1) / 2 * np.log1p((v - mu) ** 2 / (dof * scale2)))
-        grown = weight * like
-        weight = np.concatenate([[(grown * hazard).sum()], grown * (1 - hazard)])
-        new = ((kappa * mu + v) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1)))
-        mu, kappa, alpha, beta = (np.concatenate([[p], q]) for p, q in zip((0.0, 1.0, 1.0, 1.0), new, strict=True))
-        if len(weight) > most:
-            weight[most - 1] += weight[most:].sum()
-            weight, mu, kappa, alpha, beta = (a[:most] for a in (weight, mu, kappa, alpha, beta))
-        weight = weight / weight.sum()
+    out, n = np.full(len(x), np.nan), 0
+    weight = np.ones(1)  # by run length, shortest first
+    total, square = np.zeros(1), np.zeros(1)  # of each run's values
+    gamma = np.asarray([math.lgamma(1.5 + k / 2) - math.lgamma(1 + k / 2) for k in range(len(x) + 1)])
+    for k in np.flatnonzero(np.isfinite(x)):
+        v, m = x[k], np.arange(n + 1)
+        mean = total / (m + 1)
+        beta = 1 + (square - total * mean) / 2
+        dof, spread = 2.0 + m, beta * (m + 2) / ((1 + m / 2) * (m + 1))
+        like = np.exp(gamma[: n + 1] - 0.5 * np.log(dof * math.pi * spread) - (dof + 1) / 2 * np.log1p((v - mean) ** 2 / (dof * spread)))
+        each = weight * like
+        evidence = each.sum()
+        weight = np.concatenate([[hazard], each / evidence * (1 - hazard)]) if evidence > 0 and math.isfinite(evidence) else np.eye(1, n + 2)[0]
+        total, square, n = np.concatenate([[0.0], total + v]), np.concatenate([[0.0], square + v * v]), n + 1
         out[k] = weight[: recent + 1].sum()
     return out
 
@@ -296,21 +302,35 @@ def cusum(df: DataFrame, key: str, order: str, x: str, level: float = 0.05) -> D
 
 
 class Barometer:
-    """Conjugate normal posterior of a barometer, with a Page control chart on observations."""
+    """Conjugate normal posterior of a barometer from its count and sum, with a Page chart against the posterior mean.
+
+    Fixed values of the defaults: prior mean 57, prior variance 180, noise variance 120, allowance 3, limit 15.
+    """
+
+    def __init__(self, mean: float = 57.0, var: float = 180.0, noise: float = 120.0, slack: float = 3.0, limit: float = 15.0):
+        self.prior, self.prior_var, self.noise, self.slack, self.limit = mean, var, noise, slack, limit
+        self.n, self.total, self.up, self.down = 0, 0.0, 0.0, 0.0
+
+    @property
+    def var(self) -> float:
+        return 1 / (1 / self.prior_var + self.n / self.noise)
 
-    def __init__(self, mean: float = 50.0, var: float = 100.0, noise: float = 64.0, slack: float = 3.0, limit: float = 15.0):
-        self.mean, self.var, self.noise, self.slack, self.limit, self.up, self.down = mean, var, noise, slack, limit, 0.0, 0.0
+    @property
+    def mean(self) -> float:
+        return (self.prior / self.prior_var + self.total / self.noise) * self.var
 
     def update(self, x: float) -> int:
-        """The alert: +1, -1 or 0; an alert resets the charts."""
-        self.up = max(0.0, self.up + x - self.mean - self.slack)
-        self.down = max(0.0, self.down - (x - self.mean) - self.slack)
-        gain = self.var / (self.var + self.noise)
-        self.mean, self.var = self.mean + gain * (x - self.mean), self.var * (1 - gain)
-        alert = 1 if self.up > self.limit else -1 if self.down > self.limit else 0
-        if alert:
-            self.up = self.down = 0.0
-        return alert
+        """The alert: +1, -1 or 0. The observation moves the mean first, then the chart; only the side that alerts is reset."""
+        self.n, self.total = self.n + 1, self.total + x
+        gap = x - self.mean
+        self.up, self.down = max(0.0, self.up + gap - self.slack), max(0.0, self.down - gap - self.slack)
+        if self.up > self.limit:
+            self.up = 0.0
+            return 1
+        if self.down > self.limit:
+            self.down = 0.0
+            return -1
+        return 0
 
     def interval(self) -> tuple[float, float]:
         half = 1.96 * math.sqrt(self.var)
@@ -318,7 +338,7 @@ class Barometer:
 
 
 def barometer_history(df: DataFrame, key: str, order: str, x: str) -> DataFrame:
-    """``mean, sd, low, high, alert`` after each observation, in order."""
+    """``mean, sd, low, high, alert`` after each observation, in order; unknown values change nothing."""
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         b, rows = Barometer(), []

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..session import written
 
 
 class SchemaError(ValueError):
@@ -163,8 +164,12 @@ def decile_calibration(df: DataFrame, p: str, y: str, tie: str, n: int = 10) ->
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Row numbers in one global order: a range sort and one count a partition."""
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Row numbers in one global order: rows dealt by range, written once, and one count a range.
+
+    Both branches read the written ranges: a second shuffle may cut elsewhere.
+    Equal rows in ``order`` fall into one range.
+    """
+    part = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     local = part.withColumn(out, F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = part.groupBy("_part").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..registry import query, r, r_all, table
+from ..session import shared_folder
 from ..sources import files
 from ..streaming import feeds
 
 
-def _scratch(spark) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or local to a local session."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidalframe-stream-")
-    return f"{base.rstrip('/')}/tidalframe-stream/{uuid.uuid4().hex}"
-
-
 @query("S01_nearest_tenor", """WITH w AS (SELECT unnest([2.0, 5.0, 10.0]) AS wanted), c AS (SELECT p_brand, wanted, p_size, p_retailprice, row_number() OVER (PARTITION BY p_brand, wanted ORDER BY abs(p_size - wanted), p_size, p_retailprice) AS k FROM (SELECT p_brand, p_size, min(p_retailprice) AS p_retailprice FROM part GROUP BY ALL), w WHERE abs(p_size - wanted) <= 0.5)
     SELECT p_brand, CAST(wanted AS DOUBLE) AS wanted, round(p_retailprice, 4) + 0.0 AS value FROM c WHERE k = 1""")
 def _(spark, d):
@@ -64,7 +55,7 @@ def _(spark, d):
 @query("X02_feed_dedupe", "SELECT event_type, CAST(count(DISTINCT CAST(user_id AS VARCHAR)) AS BIGINT) AS n FROM events GROUP BY 1")
 def _(spark, d):
     e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
-    base = _scratch(spark)
+    base = shared_folder(spark)
     feed = e.select("ts", "event_type", F.concat_ws(":", "event_type", "user_id").alias("text"))
     seen = feeds.run_once(feeds.first_seen(feed, "40 days"), f"{base}/out", f"{base}/ck")
     return seen.groupBy("event_type").agg(F.count("*").alias("n"))
@@ -89,19 +80,27 @@ def _(spark, d):
     return s.select("user_id", "n", r("total", 4).alias("total"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
-@query("X07_tick_state")
+@query("X07_tick_state", """SELECT event_type AS source, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value AS price, lag(value) OVER w AS previous, round((value - lag(value) OVER w) * 100, 6) + 0.0 AS change
+    FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)""")
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
-    base = _scratch(spark)
+    base = shared_folder(spark)
     t = feeds.ticks(e.select(F.col("event_type").alias("source"), "ts", F.col("value").alias("price")))
     return feeds.run_once(t, f"{base}/out", f"{base}/ck").select("source", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "price", "previous", r("change").alias("change"))
 
 
-@query("X03_live_barometer")
+@query("X03_live_barometer", """WITH RECURSIVE x AS (SELECT event_type AS meeting, ts, least(value, 100) AS x FROM events WHERE value IS NOT NULL),
+    k AS (SELECT *, row_number() OVER o AS i, 1 / (1 / 180.0::DOUBLE + row_number() OVER o / 120.0::DOUBLE) AS v, (57 / 180.0::DOUBLE + sum(x) OVER o / 120.0::DOUBLE) / (1 / 180.0::DOUBLE + row_number() OVER o / 120.0::DOUBLE) AS m FROM x WINDOW o AS (PARTITION BY meeting ORDER BY ts, x ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT meeting, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d, 0 AS alert FROM (SELECT DISTINCT meeting FROM x)
+        UNION ALL SELECT meeting, i, CASE WHEN u > 15 THEN 0 ELSE u END, CASE WHEN u <= 15 AND d > 15 THEN 0 ELSE d END, CASE WHEN u > 15 THEN 1 WHEN d > 15 THEN -1 ELSE 0 END
+        FROM (SELECT k.meeting, k.i, greatest(0, u + (x - m) - 3) AS u, greatest(0, d - (x - m) - 3) AS d FROM s JOIN k ON k.meeting = s.meeting AND k.i = s.i + 1))
+    SELECT k.meeting, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(x, 6) + 0.0 AS x, round(m * sqrt(2), 6) + 0.0 AS mean_root2, round(sqrt(v), 6) + 0.0 AS sd, alert FROM s JOIN k ON k.meeting = s.meeting AND k.i = s.i""")
 def _(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
-    base = _scratch(spark)
+    base = shared_folder(spark)
     b = feeds.live_barometer(e.select(F.col("event_type").alias("meeting"), "ts", F.least("value", F.lit(100.0)).alias("x")))
-    return r_all(feeds.run_once(b, f"{base}/out", f"{base}/ck").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), 6)
+    b = feeds.run_once(b, f"{base}/out", f"{base}/ck")
+    # On an irrational scale: means of cents tie when rounded.
+    return r_all(b.withColumn("mean_root2", F.col("mean") * 2**0.5).drop("mean").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), 6)

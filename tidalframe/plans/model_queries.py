@@ -49,9 +49,9 @@ def _(spark, d):
     return spark.range(1).select(F.posexplode(both).alias("k", "v")).select((F.col("k") + 1).cast("int").alias("lag"), r("v.b", 8).alias("beta"), r("v.a", 8).alias("almon"))
 
 
-@query("F07_hazard_link", "SELECT o_orderkey, round(1 - exp(-exp(greatest(least(-o_totalprice / 100000, 5), -30))), 8) + 0.0 AS h FROM orders WHERE o_orderkey % 10 = 3")
+@query("F07_hazard_link", "SELECT o_orderkey, round(1 - exp(-exp(greatest(least(-o_totalprice / 100000, 5), -30))), 8) + 0.0 AS h FROM orders")
 def _(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 10 = 3").select("o_orderkey", r(scalars.cloglog_inverse(-F.col("o_totalprice") / 100000), 8).alias("h"))
+    return table(spark, d, "orders").select("o_orderkey", r(scalars.cloglog_inverse(-F.col("o_totalprice") / 100000), 8).alias("h"))
 
 
 @query("F07_hazard_link_whole", "SELECT o_orderkey, round(1 - exp(-exp(greatest(least(-o_totalprice / 100000, 5), -30))), 8) + 0.0 AS h FROM orders")
@@ -166,10 +166,16 @@ def _(spark, d):
     return _text_date(z.select("series_id", "date", r("z", 5).alias("z")))
 
 
-@query("R12_tvp_regression")
+@query("R12_tvp_regression", f"""WITH RECURSIVE {PAIR}, v AS (SELECT series_id, date, y / 1e5 AS y, z / 1e5 AS z FROM pair), ok AS (SELECT * FROM v WHERE y IS NOT NULL AND z IS NOT NULL),
+    r AS (SELECT series_id, (regr_syy(y, z) - regr_sxy(y, z) ** 2 / regr_sxx(y, z)) / (count(*) - 2) AS r FROM ok GROUP BY 1 HAVING count(*) >= 30),
+    k AS (SELECT ok.*, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM ok),
+    s AS (SELECT series_id, CAST(0 AS BIGINT) AS i, r, 1e-4 / (1 - 1e-4) * r AS q, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1000.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1000.0::DOUBLE AS t, 0.0::DOUBLE AS e FROM r
+        UNION ALL SELECT series_id, i, r, q, a + e * (u / f), b + e * (w / f), p - u * u / f, c - u * w / f, t - w * w / f, e
+        FROM (SELECT *, u + z * w + r AS f FROM (SELECT k.series_id, k.i, k.z, r, q, a, b, p + q AS p, c, t + q AS t, y - a - b * z AS e, p + q + c * z AS u, c + (t + q) * z AS w FROM s JOIN k ON k.series_id = s.series_id AND k.i = s.i + 1)))
+    SELECT v.series_id, CAST(v.date AS VARCHAR) AS date, round(a, 8) + 0.0 AS alpha, round(b, 8) + 0.0 AS beta, round(e, 8) + 0.0 AS resid FROM v LEFT JOIN (SELECT k.series_id, k.date, a, b, e FROM s JOIN k ON k.series_id = s.series_id AND k.i = s.i) AS o ON v.series_id = o.series_id AND v.date = o.date""")
 def _(spark, d):
     p = pair(spark, d).select("series_id", "date", (F.col("y") / 1e5).alias("y"), (F.col("z") / 1e5).alias("z"))
-    return _text_date(r_all(folds.tvp_regression(p, "series_id", "date", "y", "z"), 8))
+    return _text_date(r_all(folds.tvp_regression(p, "series_id", "date", "y", "z").drop("y", "z"), 8))
 
 
 @query("R13_local_linear_trend")
@@ -178,9 +184,16 @@ def _(spark, d):
     return _text_date(r_all(folds.local_linear_trend(w, "series_id", "date", "v", (0.05, 0.01, 0.0001)), 8))
 
 
-@query("R14_R15_cycle_filters")
+@query("R14_R15_cycle_filters", f"""WITH RECURSIVE {WEEKLY}, c AS (SELECT exp(-1.414 * pi() / 10) AS a, cos(1.414 * pi() / 10) AS ca, (cos(0.707 * 2 * pi() / 48) + sin(0.707 * 2 * pi() / 48) - 1) / cos(0.707 * 2 * pi() / 48) AS al),
+    e AS (SELECT (1 - al / 2) ** 2 AS hk, 2 * (1 - al) AS hb, (1 - al) ** 2 AS hd, 1 - 2 * a * ca + a * a AS c1, 2 * a * ca AS c2, -a * a AS c3 FROM c),
+    k AS (SELECT series_id, date, x, lag(x) OVER w AS x1, lag(x, 2) OVER w AS x2, row_number() OVER w AS i FROM weekly WHERE x IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+    s AS (SELECT series_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS f, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS h, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS g, 0.0::DOUBLE AS g1 FROM (SELECT DISTINCT series_id FROM weekly)
+        UNION ALL SELECT k.series_id, k.i, CASE WHEN k.i < 3 THEN x ELSE c1 * (x + x1) / 2 + c2 * f + c3 * f1 END, f, CASE WHEN k.i < 3 THEN 0 ELSE hk * (x - 2 * x1 + x2) + hb * h - hd * h1 END, h,
+            CASE WHEN k.i < 3 THEN 0 ELSE c1 * (hk * (x - 2 * x1 + x2) + hb * h - hd * h1 + h) / 2 + c2 * g + c3 * g1 END, g FROM s JOIN k ON k.series_id = s.series_id AND k.i = s.i + 1, e),
+    q AS (SELECT k.series_id, date, x, f, g, CASE WHEN k.i = 1 THEN 0 ELSE (g1 - g) / (2 * sin(pi() / 20)) END AS qd FROM s JOIN k ON k.series_id = s.series_id AND k.i = s.i)
+    SELECT w.series_id, CAST(w.date AS VARCHAR) AS date, round(f, 6) + 0.0 AS smooth, round(g, 6) + 0.0 AS band, round(sqrt(g * g + qd * qd), 6) + 0.0 AS amplitude, round(atan2(qd, g), 6) + 0.0 AS phase, round(sin(atan2(qd, g)), 6) + 0.0 AS sine, round(sin(atan2(qd, g) + pi() / 4), 6) + 0.0 AS lead FROM weekly AS w LEFT JOIN q ON q.series_id = w.series_id AND q.date = w.date""")
 def _(spark, d):
-    return _text_date(r_all(folds.cycle_filters(weekly(spark, d).select("series_id", "date", "x"), "series_id", "date", "x"), 6))
+    return _text_date(r_all(folds.cycle_filters(weekly(spark, d).select("series_id", "date", "x"), "series_id", "date", "x").drop("x"), 6))
 
 
 @query("R16_change_points")
@@ -195,7 +208,14 @@ def _(spark, d):
     return _text_date(r_all(folds.cusum(weekly(spark, d).select("series_id", "date", "value"), "series_id", "date", "value").drop("value"), 6))
 
 
-@query("R18_barometer_history")
+@query("R18_barometer_history", """WITH RECURSIVE w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS ws FROM conversations),
+    b AS (SELECT conv_id, turn, len(ws) AS n, list_sum(list_transform(ws, lambda x: CASE x WHEN 'the' THEN 1.0::DOUBLE WHEN 'of' THEN -0.5 WHEN 'tion' THEN 2.0 WHEN 'der' THEN -1.0 WHEN 'les' THEN 0.25 ELSE 0.0 END)) AS t FROM w),
+    x AS (SELECT conv_id, turn, greatest(0, least(100, 50 + 50 * CASE WHEN n > 0 THEN greatest(-7.5, least(7.5, t / n * 100)) ELSE 0 END / 7.5)) AS x FROM b),
+    k AS (SELECT *, row_number() OVER o AS i, 1 / (1 / 180.0::DOUBLE + row_number() OVER o / 120.0::DOUBLE) AS v, (57 / 180.0::DOUBLE + sum(x) OVER o / 120.0::DOUBLE) / (1 / 180.0::DOUBLE + row_number() OVER o / 120.0::DOUBLE) AS m FROM x WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d, 0 AS alert FROM (SELECT DISTINCT conv_id FROM x)
+        UNION ALL SELECT conv_id, i, CASE WHEN u > 15 THEN 0 ELSE u END, CASE WHEN u <= 15 AND d > 15 THEN 0 ELSE d END, CASE WHEN u > 15 THEN 1 WHEN d > 15 THEN -1 ELSE 0 END
+        FROM (SELECT k.conv_id, k.i, greatest(0, u + (x - m) - 3) AS u, greatest(0, d - (x - m) - 3) AS d FROM s JOIN k ON k.conv_id = s.conv_id AND k.i = s.i + 1))
+    SELECT k.conv_id, turn, round(x, 8) + 0.0 AS x, round(m, 8) + 0.0 AS mean, round(sqrt(v), 8) + 0.0 AS sd, round(greatest(0, m - 1.96 * sqrt(v)), 8) + 0.0 AS low, round(least(100, m + 1.96 * sqrt(v)), 8) + 0.0 AS high, alert FROM s JOIN k ON k.conv_id = s.conv_id AND k.i = s.i""")
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", scalars.barometer(scalars.word_score("text", LEXICON)).alias("x"))
     return r_all(folds.barometer_history(c, "conv_id", "turn", "x"), 8)

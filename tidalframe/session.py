@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -21,6 +23,31 @@ def workers_import_here(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``.
+
+    Only a session of one process may leave that setting unset.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="tidalframe-work-"))
+        base = _own[0]
+    return f"{base.rstrip('/')}/tidalframe-work/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: all its readers see the same rows and partition numbers."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-process session with adaptive execution, in UTC."""
     return (

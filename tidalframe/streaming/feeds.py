@@ -51,23 +51,21 @@ def sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFram
 
 
 class TickState(StatefulProcessor):
-    """Previous price and change (times 100) of each source, in arrival order."""
+    """Previous price and change (times 100) of each source, in event order within each batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "price double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            out = []
-            for ts, price in pdf.sort_values("ts", kind="stable")[["ts", "price"]].itertuples(index=False):
-                if price is None or not price > 0:
-                    continue
-                out.append((key[0], ts, price, last, None if last is None else (price - last) * 100))
-                last = float(price)
-            if last is not None:
-                self.last.update((last,))
-            yield pd.DataFrame(out, columns=["source", "ts", "price", "previous", "change"])
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for ts, price in pd.concat(rows).sort_values(["ts", "price"], kind="stable")[["ts", "price"]].itertuples(index=False):
+            if price is None or not price > 0:
+                continue
+            out.append((key[0], ts, price, last, None if last is None else (price - last) * 100))
+            last = float(price)
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["source", "ts", "price", "previous", "change"])
 
     def close(self) -> None:
         pass
@@ -78,22 +76,21 @@ def ticks(stream: DataFrame) -> DataFrame:
 
 
 class BarometerState(StatefulProcessor):
-    """A posterior a key, updated in event order within each batch."""
+    """A posterior a key, updated in event order within each batch: a key's chunks of a batch are sorted together."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "mean double, var double, up double, down double")
+        self.state = handle.getValueState("state", "n long, total double, up double, down double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         b = Barometer()
         if self.state.exists():
-            b.mean, b.var, b.up, b.down = self.state.get()
-        for pdf in rows:
-            out = []
-            for ts, x in pdf.sort_values("ts", kind="stable")[["ts", "x"]].itertuples(index=False):
-                alert = b.update(float(x))
-                out.append((key[0], ts, float(x), b.mean, b.var**0.5, alert))
-            yield pd.DataFrame(out, columns=["meeting", "ts", "x", "mean", "sd", "alert"])
-        self.state.update((b.mean, b.var, b.up, b.down))
+            b.n, b.total, b.up, b.down = self.state.get()
+        out = []
+        for ts, x in pd.concat(rows)[["ts", "x"]].dropna().sort_values(["ts", "x"], kind="stable").itertuples(index=False):
+            alert = b.update(float(x))
+            out.append((key[0], ts, float(x), b.mean, b.var**0.5, alert))
+        self.state.update((b.n, b.total, b.up, b.down))
+        yield pd.DataFrame(out, columns=["meeting", "ts", "x", "mean", "sd", "alert"])
 
     def close(self) -> None:
         pass
