@@ -1,9 +1,10 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
 Every input partition becomes one run: digests, identifiers and lengths,
-sorted by digest and written to the shared folder. Runs meet in rounds. In a
-round, ``fan_in`` neighbouring runs exchange their rows by digest and merge
-into one; each digest keeps one row with the retained identifier and the
+sorted by digest and written to the shared folder. Runs meet in rounds, as in
+a binomial tree with ``fan_in`` children a node: ``fan_in`` neighbouring runs
+exchange their rows by digest and merge into one, which is dealt to as many
+tasks as the session shuffles to, so no run is ever one task's; each digest keeps one row with the retained identifier and the
 number of rows it stands for, so a digest that holds a third of all rows is
 already one row a run before the first exchange. The root knows each digest's
 survivor; the way back down hands it from each merged run to the runs that it
@@ -34,18 +35,21 @@ def _digests(text: Column) -> list[Column]:
 
 
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 8, row_col: str | None = None
 ) -> DataFrame:
-    """One row per input row: ``id``, ``digest``, ``n_bytes``, ``second``, ``keep_id``, ``group_size``, ``kept``.
+    """One row per input row: ``id``, ``digest``, ``n_bytes``, ``second``, ``keep_id``, ``group_size``, ``kept``, ``seq``.
 
     ``keep`` is ``max`` or ``min``: which identifier of a group stays.
+    ``row_col`` numbers the rows (``seq``); without it they are numbered here.
     """
     if keep not in ("max", "min") or fan_in < 2:
         raise ValueError("keep is 'max' or 'min', fan_in 2 at least")
     best = F.max if keep == "max" else F.min
+    number = F.col("seq") if row_col else F.monotonically_increasing_id()
+    given = [F.col(row_col).alias("seq")] if row_col else []
     runs = cut(
-        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .select("id", *_digests(F.col("text")), F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("seq"))
+        docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *given)
+        .select("id", *_digests(F.col("text")), F.spark_partition_id().alias("run"), number.alias("seq"))
         .sortWithinPartitions("digest"),
         "digest-runs",
     )
@@ -68,27 +72,19 @@ def exact_duplicates(
         lower = lower.select(*_KEY, "run", F.floor(F.col("run") / fan_in).cast("int").alias("above"))
         known = lower.join(up, [*_KEY, "above"]).drop("above")
     return runs.join(known, [*_KEY, "run"]).select(
-        "id", *_KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.seq") == F.col("seq")).alias("kept")
+        "id", *_KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.seq") == F.col("seq")).alias("kept"), "seq"
     )
 
 
 def drop_exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 8
 ) -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` drops, columns unchanged.
 
-    Rows that repeat both identifier and text stand or fall together here:
-    they are told apart by nothing that a join could use.
+    Rows are numbered once in a written table, so of rows that repeat both
+    identifier and text one stays.
     """
-    marked = exact_duplicates(docs, id_col, text_col, keep=keep, fan_in=fan_in)
-    lost = marked.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(
-        F.col("id").alias("_lost_id"), *[F.col(k).alias(f"_lost_{k}") for k in _KEY]
-    )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    names = {k: fresh(docs, f"_key_{k}") for k in _KEY}
-    keyed = docs.select("*", *[c.alias(names[k]) for k, c in zip(_KEY, _digests(text), strict=True)])
-    same = [keyed[id_col].eqNullSafe(lost["_lost_id"])] + [keyed[names[k]] == lost[f"_lost_{k}"] for k in _KEY]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return keyed.join(lost, on, "left_anti").drop(*names.values())
+    row = fresh(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    lost = exact_duplicates(numbered, id_col, text_col, keep=keep, fan_in=fan_in, row_col=row).where(~F.col("kept")).select(F.col("seq").alias(row))
+    return numbered.join(lost, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
