@@ -2,10 +2,10 @@
 
 * ``cut`` writes a table to the shared folder and reads it back, so that a lost
   executor costs a re-read and not the whole lineage.
-* ``BitFilter`` is a membership filter of a fixed number of bits. It is the
-  only thing about a corpus that the operators broadcast: its size is chosen
-  up front and does not grow with the data; when it fills up it passes more
-  rows on, and the exact step behind it decides.
+* ``BitFilter`` is a membership filter of a bounded number of bits. It is the
+  only thing about a corpus that the operators broadcast: 16 bits a key up to
+  64 MB; beyond that it passes more rows on, and the exact step behind it
+  decides.
 * ``words_of`` and friends work on UTF-8 bytes: a table lookup and a split.
 """
 
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-_written: list[str] = []
+#: Folder and, if it is in the catalogue, table name of each written table.
+_written: list[tuple[str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidalframe/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    _written.append((path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,16 +56,27 @@ def cut_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tidalframe/{name}"
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
-    _written.append(path)
+    _written.append((path, name))
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``cut`` wrote; their readers must be done."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written_so_far() -> int:
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after the first ``since``, but not what ``keep`` reads; all other readers must be done."""
+    needed = keep.inputFiles() if keep is not None else []
+    jvm, left = spark.sparkContext._jvm, []
+    for path, name in _written[since:]:
+        if any(path.rpartition("/")[2] in f for f in needed):
+            left.append((path, name))
+            continue
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _written[since:] = left
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
@@ -173,12 +185,16 @@ class BitFilter:
         return out
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, log2_bits: int = 24) -> BitFilter:
+    def of(cls, df: DataFrame, column: str, log2_bits: int | None = None, most: int = 29) -> BitFilter:
         """Filled by the executors: they reduce hashes to 64-bit pieces of the
 
         filter, combined by OR; the driver gets at most ``2 ** (log2_bits - 6)``
-        pieces whatever the number of rows.
+        pieces. By default 16 bits or more a row, ``2 ** most`` at most: 64 MB
+        whatever the number of rows.
         """
+        if log2_bits is None:
+            df = cut(df.select(column), "filter-keys")
+            log2_bits = min(most, max(16, (16 * df.count()).bit_length()))
 
         def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = None

@@ -91,7 +91,7 @@ def _shingle_counts(texts: DataFrame, sizes: list[int], held) -> DataFrame:
 
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *,
-    window: int = 10, shingle: int = 5, log2_bits: int = 24,
+    window: int = 10, shingle: int = 5, log2_bits: int | None = None,
 ) -> DataFrame:
     """One row per input row: ``id, n_words, spans, items``.
 

@@ -325,7 +325,7 @@ def trie_links(sets: DataFrame, places: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 3, percent: int = 90, block_grams: int = 3_000_000, log2_bits: int = 24
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 3, percent: int = 90, block_grams: int = 3_000_000, log2_bits: int | None = None
 ) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, node``.
 
@@ -403,10 +403,10 @@ def jaccard_components(
 
     sets = cut(narrow.select("row", "text").mapInArrow(carry, "key long, node binary, grams binary"), "node-sets")
 
-    # Each group's first member against the others; what it does not join is left to the group.
+    # Each group's first member against the others, in slices; what it does not join is left to the group.
     size = nodes.select("key", "n")
     stars = members.where("key != lead").select(F.col("lead").alias("block"), "key").distinct().join(size, "key")
-    slices = stars.groupBy("block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("slices"))
+    slices = stars.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(max(1, block_grams // 100))).cast("int").alias("slices"))
     below = stars.join(slices, "block").select("block", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("one"), F.lit(0).alias("side"), "key")
     above = slices.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("one"), F.lit(1).alias("side"), F.col("block").alias("key"))
     places = below.unionByName(above).select("block", "one", F.lit(-1).alias("two"), "side", F.col("key").alias("label"), "key")

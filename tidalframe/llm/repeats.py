@@ -23,7 +23,7 @@ Every byte that a ``length``-byte string covers which also starts anywhere else
    its starts are counted by a 128-bit hash of their whole strings.
 
 Equality of ranges is equality of a 128-bit hash. What is broadcast are bit
-filters of fixed size.
+filters of bounded size.
 
 Defined results: null text is empty; texts shorter than ``length`` lose
 nothing; a repeated row is a copy like any other; an empty table gives an
@@ -237,7 +237,7 @@ def _decide(length: int):
 _CONTEXT = ["anchor", "c1", "c2"]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str] | None = None, *, length: int = 400, gram: int = 128, shard_bytes: int = 4 << 20, log2_bits: int = 25) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str] | None = None, *, length: int = 400, gram: int = 128, shard_bytes: int = 4 << 20, log2_bits: int | None = None) -> DataFrame:
     """``k1, k2, spans``: the byte ranges [start, end) that repeat, merged, of the rows with such.
 
     ``k1, k2`` are the two 64-bit hashes of ``key_cols`` that ``row_keys`` gives.
@@ -268,6 +268,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str]
     distinct = cut(distinct, "distinct-ranges")
     size = F.col("one.e") - F.col("one.s") + length
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("ranges"), F.sum("n").alias("all"), F.sum(size).alias("bytes")).where("ranges > 1")
+    anchors = cut(anchors, "anchors")  # apart from the join, whose hot anchors can then be split
     open_ = cut(distinct.join(anchors.select("anchor", F.col("bytes").alias("total")), "anchor"), "open-ranges")
 
     # Equal ranges: all their starts repeat.
