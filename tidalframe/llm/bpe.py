@@ -178,7 +178,7 @@ def encode(
 
     split_up = narrow.mapInArrow(split, chunk_schema)
     # Chunks stay where they are written: only words and ids travel.
-    homes = max(2, 2 * split_up.rdd.getNumPartitions())
+    homes = min(50_000, max(2, 2 * split_up.rdd.getNumPartitions()))
     chunks = cut_bucketed(split_up, "bpe-chunks", "chunk", homes)
     words = chunks.select("chunk", F.inline("words")).select("chunk", "bucket", "words")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, "chunk long, bucket int, coded binary")
