@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
-from tidalframe.llm.common import cut, fresh
+from tidalframe.llm.common import cut, fresh, release, written_so_far
 
 #: Documents of this score or more are toxic.
 TOXIC = 0.3
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and reread."""
+    """All stages over ``documents``; each stage's result is written and reread, what it needed is deleted."""
+    before = written_so_far()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
