@@ -281,3 +281,19 @@ def test_phase_of_a_cosine_advances():
     quad = (osc[:-1] - osc[1:]) / (2 * math.sin(math.pi / period))
     assert np.allclose(np.diff(np.unwrap(np.arctan2(quad, osc[1:]))).mean(), 2 * np.pi / period, atol=0.01)
     assert np.allclose(p["sine"][1:], np.sin(np.arctan2(quad, osc[1:])))
+
+
+def test_lag_weighted_regression_finds_its_weights(spark):
+    from tidalframe.operators import validation
+
+    rng = np.random.default_rng(6)
+    lags, u = rng.normal(size=(900, 6)), np.arange(1, 7) / 7
+    w = u**1.0 * (1 - u) ** 4.0
+    w /= w.sum()
+    y = 0.5 + 2.0 * lags @ w + rng.normal(0, 0.05, 900)
+    df = spark.createDataFrame([(float(a), [float(v) for v in b]) for a, b in zip(y, lags, strict=True)], "y double, lags array<double>")
+    fit = validation.lag_weighted_regression(df, "y", "lags", 6)
+    assert np.abs(fit["weights"] - w).max() < 0.02 and np.allclose(fit["coef"], [0.5, 2.0], atol=0.03)
+    x = np.column_stack([np.ones(900), lags @ fit["weights"]])
+    assert math.isclose(fit["rss"], ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum(), rel_tol=1e-8)
+    assert fit["rss"] <= ((y - 0.5 - 2.0 * lags @ w) ** 2).sum()
