@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,21 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+@contextmanager
+def held_batches(spark: SparkSession, most: int = 16 << 20) -> Iterator[None]:
+    """Inside, Python gets at most ``most`` bytes at a time (one row at least); then the session is as it was.
+
+    For what is written inside: a plan that runs later takes the setting of then.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    small_batches(spark, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

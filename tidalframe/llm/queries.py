@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, search, spelling, toxicity
 from .toxicity import crc_mod
 
 
@@ -93,8 +93,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.mapInArrow(digests, schema)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(_table(spark, sf_dir, "documents"), min_chars=7, min_count=2, reading=spelling.drop_one_in(31))
+    return spelling.spelling_forms(counts, ratio=10)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op8_chat, op9_line_dedup, op10_byte_bpe)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op8_chat, op9_line_dedup, op10_byte_bpe, op11_spelling, op12_search)
 }
 
 ORACLES: dict[str, str] = {
@@ -135,4 +145,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN common AS c ON keyed.key = c.key GROUP BY doc_id""",
+    "op12_search": """
+        WITH dt AS (
+            SELECT doc_id, row_id, unnest(w) AS term, len(w) AS n
+            FROM (SELECT doc_id, row_number() OVER () AS row_id,
+                         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                  FROM documents)),
+        qt AS (
+            SELECT item_id, term, count(*) AS times
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)
+            GROUP BY item_id, term),
+        total AS (SELECT count(DISTINCT row_id) AS nd, count(*) AS nt FROM dt),
+        tf AS (SELECT doc_id, row_id, term, max(n) AS n, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, row_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * max(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+        s AS (
+            SELECT item_id, doc_id, row_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score
+            FROM qt JOIN tf USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id, row_id),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
 }
