@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, decontaminate, exact_dedup, language, line_dedup, ngram_join, quality, repeats, search, spelling, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, extract, language, line_dedup, ngram_join, quality, repeats, search, spelling, toxicity
 from .toxicity import crc_mod
 
 
@@ -103,8 +103,14 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
 
 
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = extract.extract(pages, extract.train(pages), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", F.col("main_text").alias("text"), "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op8_chat, op9_line_dedup, op10_byte_bpe, op11_spelling, op12_search)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_language, op4_decontaminate, op5_repeats, op6_quality, op7_ngram_join, op8_chat, op9_line_dedup, op10_byte_bpe, op11_spelling, op12_search, op13_extract)
 }
 
 ORACLES: dict[str, str] = {
