@@ -6,7 +6,8 @@ boundaries with its character references decoded and its white space (as
 over subtrees are differences of prefix sums.
 
 Forgiving: end tags may be missing, stray, crossed or in capitals, quotes
-unbalanced, comments and scripts unclosed. Time is linear in the page.
+unbalanced, comments and scripts unclosed; a tag that the page ends in is text.
+Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -102,6 +103,8 @@ class Forest:
                 break
             pos = m.end()
             if m[2] is None:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    pos = len(page)
                 continue
             tag = m[2].lower()
             if silent:
@@ -165,7 +168,7 @@ class Forest:
                 if tag == "a":
                     link_level = len(stack)
         if not silent and pos < len(page):
-            held.append(html.unescape(page[pos:]))
+            held.append(html.unescape(page[pos:].partition("<!--")[0]))
         flush()
         close(0)
         self.pages.append(len(self.parent))
