@@ -44,7 +44,11 @@ def predict(coef, xs: list[str], intercept: bool = True) -> Column:
 
 def ols(df: DataFrame, y: str, xs: list[str], *, intercept: bool = True, ridge: float = 0.0) -> dict:
     """Coefficients, standard errors, t, p, R2, residual variance and the Gram inverse."""
-    n, g = gram(df, [*design(xs, intercept), F.col(y)])
+    return ols_of(*gram(df, [*design(xs, intercept), F.col(y)]), intercept=intercept, ridge=ridge)
+
+
+def ols_of(n: int, g: np.ndarray, *, intercept: bool = True, ridge: float = 0.0) -> dict:
+    """The same from a Gram matrix of the design (the constant first, if any) and, last, the response."""
     a, b, yy = g[:-1, :-1], g[:-1, -1], g[-1, -1]
     penalty = ridge * np.eye(len(b))
     if intercept:
@@ -116,21 +120,29 @@ def influence(df: DataFrame, y: str, x: str) -> DataFrame:
 def vif(df: DataFrame, xs: list[str]) -> dict[str, float]:
     """Variance inflation of each regressor, auxiliary regressions without intercept."""
     _, g = gram(df, design(xs, False))
-    inverse = np.linalg.pinv(g)
-    return {x: float(g[k, k] * inverse[k, k]) for k, x in enumerate(xs)}
+    return dict(zip(xs, vif_of(g), strict=True))
+
+
+def vif_of(g: np.ndarray) -> list[float]:
+    return (np.diag(g) * np.diag(np.linalg.pinv(g))).tolist()
 
 
 def drop_collinear(df: DataFrame, xs: list[str], most: float = 10.0) -> list[str]:
     """Regressors left after dropping the most inflated until all are below ``most``: one pass over the data."""
     _, g = gram(df, design(xs, False))
-    left = list(range(len(xs)))
+    return [xs[k] for k in independent(g, most)]
+
+
+def independent(g: np.ndarray, most: float = 10.0) -> list[int]:
+    """Places of the columns that are left, from the Gram matrix."""
+    left = list(range(len(g)))
     while len(left) > 1:
         part = g[np.ix_(left, left)]
         v = np.diag(part) * np.diag(np.linalg.pinv(part))
         if v.max() < most:
             break
         left.pop(int(np.argmax(v)))
-    return [xs[k] for k in left]
+    return left
 
 
 # --- generalised linear models ---------------------------------------------------------
@@ -167,15 +179,19 @@ def glm(df: DataFrame, y: str, xs: list[str], *, link: str = "logit", weight: st
 
 def elastic_net(df: DataFrame, y: str, xs: list[str], l1: float, l2: float = 0.0, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
     """Coordinate descent on the Gram matrix of standardised columns; coefficients on the original scale."""
-    n, g = gram(df, [*design(xs), F.col(y)])
+    return elastic_net_of(*gram(df, [*design(xs), F.col(y)]), l1, l2, rounds, tol)
+
+
+def elastic_net_of(n: int, g: np.ndarray, l1: float, l2: float = 0.0, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
+    """The same from the Gram matrix of a constant, the regressors and the response."""
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-300))
     c, r = cov[:-1, :-1] / np.outer(sd, sd), cov[:-1, -1] / sd
-    b = np.zeros(len(xs))
+    b = np.zeros(len(r))
     for _ in range(rounds):
         old = b.copy()
-        for k in range(len(xs)):
+        for k in range(len(r)):
             rho = r[k] - c[k] @ b + c[k, k] * b[k]
             b[k] = math.copysign(max(abs(rho) - l1, 0.0), rho) / (c[k, k] + l2)
         if np.abs(b - old).max() < tol:
@@ -193,19 +209,22 @@ def pca(df: DataFrame, xs: list[str], k: int, anchor: str | None = None) -> dict
     If the first component correlates negatively with ``anchor`` (the first
     column if none), all components are negated.
     """
-    n, g = gram(df, design(xs))
+    return pca_of(*gram(df, design(xs)), k, xs.index(anchor) if anchor else 0) | {"columns": xs}
+
+
+def pca_of(n: int, g: np.ndarray, k: int, at: int = 0) -> dict:
+    """The same from the Gram matrix of a constant and the columns; ``at``: place of the anchor."""
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.diag(cov))
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
     sd = np.where(sd > 0, sd, 1.0)
     corr = cov / np.outer(sd, sd)
     values, vectors = np.linalg.eigh(corr * n / max(1, n - 1))
     order = np.argsort(-values)[:k]
     loads = vectors[:, order]
-    at = xs.index(anchor) if anchor else 0
     if (corr @ loads)[at, 0] < 0:
         loads = -loads
-    return {"mean": mean, "sd": sd, "loadings": loads, "values": values[order], "share": values[order] / values.sum(), "columns": xs}
+    return {"mean": mean, "sd": sd, "loadings": loads, "values": values[order], "share": values[order] / values.sum()}
 
 
 def project(df: DataFrame, model: dict, prefix: str = "pc") -> DataFrame:

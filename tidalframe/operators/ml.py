@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from . import linear
 
 
-def tree_scores(df: DataFrame, y: str, xs: list[str], seed: int = 7) -> DataFrame:
-    """Out-of-sample errors of a forest and of boosted trees (a substitute for other boosting libraries, not their equal)."""
-    from pyspark.ml.feature import VectorAssembler
+def tree_scores(df: DataFrame, y: str, x: str, seed: int = 7) -> DataFrame:
+    """Out-of-sample errors of a forest and of boosted trees on a vector column (a substitute for other boosting libraries, not their equal)."""
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    d = VectorAssembler(inputCols=xs, outputCol="features").transform(df.dropna(subset=[y, *xs])).withColumn("_test", F.pmod(F.xxhash64(*xs), F.lit(4)) == 0)
+    d = df.dropna(subset=[y, x]).select(y, array_to_vector(x).alias("features"), (F.pmod(F.xxhash64(x), F.lit(4)) == 0).alias("_test"))
     train, test, out = d.where("not _test"), d.where("_test"), None
     for name, model in (("forest", RandomForestRegressor(labelCol=y, numTrees=20, maxDepth=4, seed=seed)), ("boosted", GBTRegressor(labelCol=y, maxIter=10, maxDepth=3, seed=seed))):
         fit = model.fit(train)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, scalars
 from ..functions import windows as W
 from ..operators import evaluate as E
-from ..operators import folds, linear, ml, simulate, survival
+from ..operators import folds, linear, ml, simulate, survival, vectors
 from ..operators import relational as R
 from ..registry import query, r, r_all, table
 from .analogues import PAIR, WEEKLY, pair, weekly
@@ -402,41 +402,73 @@ def _(spark, d):
 
 
 def _vectors(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", (F.col("label") % 2).alias("label"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(5)])
+    """Whole vectors; ``rest`` is all but the first element."""
+    e = table(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return e.select("vec_id", "label", "embedding", F.col("embedding")[0].alias("x0"), F.slice("embedding", 2, 1000).alias("rest"))
+
+
+_ELEMENTS = "e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+
+
+@query("M01_vector_moments", f"WITH {_ELEMENTS} SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.v * b.v), 5) + 0.0 AS total FROM e AS a JOIN e AS b USING (vec_id) WHERE a.i <= b.i GROUP BY ALL")
+def _(spark, d):
+    return r_all(vectors.gram_entries(_vectors(spark, d), "embedding"), 5)
 
 
 @query("M01_pca")
 def _(spark, d):
     v = _vectors(spark, d)
-    model = linear.pca(v, [f"x{k}" for k in range(5)], 3)
-    return r_all(linear.project(v, model).select("vec_id", "pc1", "pc2", "pc3"), 5)
+    return r_all(vectors.project(v, "embedding", vectors.pca(v, "embedding", 3)).select("vec_id", "pc1", "pc2", "pc3"), 5)
 
 
 @query("M04_M05_binary_models")
 def _(spark, d):
-    v = _vectors(spark, d).persist()
-    rows = [(link, k, c) for link in ("logit", "cloglog") for k, c in enumerate(linear.glm(v, "label", ["x0", "x1"], link=link, penalty={"x1": 1e-3}))]
+    v = _vectors(spark, d).select("embedding", (F.col("label") % 2).alias("y")).persist()
+    rows = [(link, k, float(c)) for link in ("logit", "cloglog") for k, c in enumerate(vectors.binary_model(v, "embedding", F.col("y"), link=link))]
+    v.unpersist()
+    return r_all(frame(spark, rows, "link string, k int, coef double"), 5)
+
+
+@query("M05_group_rates", """WITH p AS (SELECT avg(CAST(l_returnflag = 'R' AS INT)) FILTER (l_quantity <= 25) AS a, avg(CAST(l_returnflag = 'R' AS INT)) FILTER (l_quantity > 25) AS b FROM lineitem)
+    SELECT link, CAST(k AS INTEGER) AS k, round(coef, 6) + 0.0 AS coef FROM p, LATERAL (VALUES ('logit', 0, ln(a / (1 - a))), ('logit', 1, ln(b / (1 - b)) - ln(a / (1 - a))), ('cloglog', 0, ln(-ln(1 - a))), ('cloglog', 1, ln(-ln(1 - b)) - ln(-ln(1 - a)))) AS t(link, k, coef)""")
+def _(spark, d):
+    """One yes-or-no regressor: the fit is the groups' rates on the link's scale."""
+    v = table(spark, d, "lineitem").select(F.array((F.col("l_quantity") > 25).cast("double")).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y")).persist()
+    rows = [(link, k, float(c)) for link in ("logit", "cloglog") for k, c in enumerate(vectors.binary_model(v, "x", F.col("y"), link=link, l2=0.0))]
     v.unpersist()
     return r_all(frame(spark, rows, "link string, k int, coef double"))
 
 
 @query("M07_linear_models")
 def _(spark, d):
-    v = _vectors(spark, d)
-    xs = ["x1", "x2", "x3", "x4"]
-    fits = {"ols": linear.ols(v, "x0", xs)["coef"], "ridge": linear.ols(v, "x0", xs, ridge=1.0)["coef"], "lasso": linear.elastic_net(v, "x0", xs, 0.01), "elastic_net": linear.elastic_net(v, "x0", xs, 0.005, 0.5)}
-    return r_all(frame(spark, [(n, k, c) for n, f in fits.items() for k, c in enumerate(f)], "model string, k int, coef double"))
+    fits = vectors.linear_models(_vectors(spark, d), "rest", F.col("x0"))
+    return r_all(frame(spark, [(n, k, float(c)) for n, f in fits.items() for k, c in enumerate(f)], "model string, k int, coef double"))
+
+
+@query("M07_one_regressor", """WITH m AS (SELECT avg(embedding[1]::DOUBLE) AS my, avg(embedding[2]::DOUBLE) AS mx, count(*) AS n, var_pop(embedding[2]::DOUBLE) AS v, covar_pop(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS c FROM embeddings),
+    b AS (SELECT model, my, mx, slope FROM m, LATERAL (VALUES ('ols', c / v), ('ridge', c * n / (v * n + 1)), ('lasso', sign(c) * greatest(abs(c) / sqrt(v) - 0.01, 0) / sqrt(v)), ('elastic_net', sign(c) * greatest(abs(c) / sqrt(v) - 0.005, 0) / 1.5 / sqrt(v))) AS t(model, slope))
+    SELECT model, CAST(k AS INTEGER) AS k, round(CASE WHEN k = 0 THEN my - slope * mx ELSE slope END, 6) + 0.0 AS coef FROM b, (VALUES (0), (1)) AS s(k)""")
+def _(spark, d):
+    """With one regressor each of the four fits has a closed form."""
+    fits = vectors.linear_models(_vectors(spark, d).withColumn("rest", F.slice("rest", 1, 1)), "rest", F.col("x0"))
+    return r_all(frame(spark, [(n, k, float(c)) for n, f in fits.items() for k, c in enumerate(f)], "model string, k int, coef double"))
 
 
 @query("T15_variance_inflation")
 def _(spark, d):
-    return r_all(frame(spark, list(linear.vif(_vectors(spark, d), [f"x{k}" for k in range(5)]).items()), "column string, vif double"))
+    found = vectors.variance_inflation(_vectors(spark, d), "embedding")
+    return r_all(frame(spark, [(k, float(v)) for k, v in enumerate(found)], "element int, vif double"))
+
+
+@query("T15_two_elements", "WITH s AS (SELECT sum(embedding[1]::DOUBLE * embedding[2]) AS xy, sum(embedding[1]::DOUBLE ** 2) AS xx, sum(embedding[2]::DOUBLE ** 2) AS yy FROM embeddings) SELECT CAST(k AS INTEGER) AS element, round(1 / (1 - xy * xy / (xx * yy)), 8) + 0.0 AS vif FROM s, (VALUES (0), (1)) AS t(k)")
+def _(spark, d):
+    found = vectors.variance_inflation(_vectors(spark, d).withColumn("embedding", F.slice("embedding", 1, 2)), "embedding")
+    return r_all(frame(spark, [(k, float(v)) for k, v in enumerate(found)], "element int, vif double"), 8)
 
 
 @query("M08_boosted_trees")
 def _(spark, d):
-    return ml.tree_scores(_vectors(spark, d), "x0", ["x1", "x2", "x3", "x4"])
+    return ml.tree_scores(_vectors(spark, d), "x0", "rest")
 
 
 @query("M19_M20_text_clusters")
@@ -446,9 +478,18 @@ def _(spark, d):
 
 @query("M09_ordered_logit")
 def _(spark, d):
-    v = _vectors(spark, d).withColumn("y", F.when(F.col("x0") > 0.05, 2).when(F.col("x0") < -0.05, 0).otherwise(1))
-    fit = ml.ordered_logit(v, "y", ["x1", "x2"])
-    return r_all(frame(spark, list(enumerate(fit)), "k int, value double"))
+    v = _vectors(spark, d).select("rest", F.when(F.col("x0") > 0.05, 2).when(F.col("x0") < -0.05, 0).otherwise(1).alias("y")).persist()
+    slopes, cuts = vectors.ordered_model(v, "rest", F.col("y"), 3)
+    v.unpersist()
+    return r_all(frame(spark, [(k, float(x)) for k, x in enumerate([*cuts, *slopes])], "k int, value double"), 5)
+
+
+@query("H08_ordered_probabilities")
+def _(spark, d):
+    """Each vector's class probabilities under the ordered model fitted to all."""
+    v = _vectors(spark, d).select("vec_id", "rest", F.when(F.col("x0") > 0.05, 2).when(F.col("x0") < -0.05, 0).otherwise(1).alias("y")).persist()
+    scored = vectors.ordered_probabilities(v, "rest", *vectors.ordered_model(v, "rest", F.col("y"), 3))
+    return r_all(scored.select("vec_id", *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)]), 5)
 
 
 @query("M10_block_bootstrap")
