@@ -12,10 +12,12 @@ resulting trees are written out in reply order, without quotes.
 
 The join is by hash. In a run's own conversation all earlier messages are
 compared, and of those that hold equally much the latest wins (one that holds
-the whole run in one piece first), also over other conversations. In other conversations a piece stands for the earliest message
-that holds it there. Of several runs of a message, those found in its conversation
-come first, then the latest message. A part of a line is no piece, and lines
-wrapped anew are found only as whole paragraphs or passages.
+the whole run in one piece first), also over other conversations. In other
+conversations all messages count, and of those that hold equally much the one
+with the longest piece, then the earliest, wins. Of several runs of a message,
+those found in its conversation come first, then the latest message. A part of
+a line is no piece, and lines wrapped anew are found only as whole paragraphs
+or passages.
 
 Defined results: a null text is an empty message; a message of quotes only
 keeps its place with empty text; a null or unknown role is "unknown"; rows
@@ -134,6 +136,67 @@ def best_earlier(row: int, run: list[tuple[int, int, int]], rows_of: dict[int, l
     return max(((covered(x), m) for m, x in held.items()), default=(0, None))
 
 
+def rare_keys(run: list[tuple[int, int, int]], holders: dict[int, tuple[int, int]]) -> list[int]:
+    """Keys of ``run`` of which a message must hold one to hold half of its words; ``holders``: classes and conversations of a key.
+
+    The rarest first: what is left behind them covers less than half. If two
+    conversations hold the whole run in one piece, one of them wins, so only
+    that piece is looked for.
+    """
+    whole = run[0][0]
+    if holders.get(whole, (0, 0))[1] >= 2:
+        return [whole]
+    order = sorted((x for x in run if x[0] in holders), key=lambda x: (holders[x[0]][0], x))
+    for k in range(len(order) + 1):
+        if 2 * covered((lo, hi) for _, lo, hi in order[k:]) < run[0][2]:
+            return list(dict.fromkeys(x[0] for x in order[:k]))
+    return []
+
+
+def best_elsewhere(runs: DataFrame, holds: DataFrame) -> DataFrame:
+    """``pieces, two``: for each distinct run the best holders of two conversations, better first, as ``less, longest, first``.
+
+    Best: most words (``-less``, at least half), then the longest piece, then the
+    earliest. Exact: messages that hold the same of all keys are one class, which
+    its earliest messages of two conversations stand for; classes are brought to
+    a run by its rare keys (``rare_keys``) and then compared with all its pieces.
+    """
+    kind = runs.schema["pieces"].dataType.simpleString()
+    runs = cut(runs.withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    held = holds.groupBy("conv", "row", "turn").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    firsts = held.groupBy("keys", "conv").agg(F.min(F.struct("turn", "row")).alias("f")).select("keys", F.struct("f.turn", "conv", "f.row").alias("first"))
+    firsts = firsts.withColumn("k", F.row_number().over(Window.partitionBy("keys").orderBy("first"))).where("k <= 2")
+    classes = cut(firsts.groupBy("keys").agg(F.array_sort(F.collect_list("first")).alias("firsts")).withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    by_key = classes.select("class_id", F.size("firsts").alias("convs"), F.explode("keys").alias("key"))
+    # Of conversations only whether there are two matters, and two classes of one each may share it.
+    convs = classes.select(F.explode("keys").alias("key"), F.explode("firsts").alias("f")).groupBy("key").agg((F.min("f.conv").eqNullSafe(F.max("f.conv")) & (F.count("f.conv").isin(0, F.count("*")))).alias("one"))
+    counts = by_key.groupBy("key").agg(F.count("*").alias("n")).join(convs, "key").select("key", "n", F.when(F.col("one"), 1).otherwise(2).alias("convs"))
+    known = runs.select("run_id", F.explode("pieces").alias("p")).select("run_id", F.col("p.key").alias("key")).distinct().join(counts, "key")
+    known = known.groupBy("run_id").agg(F.collect_list(F.struct("key", "n", "convs")).alias("known")).join(runs, "run_id")
+
+    def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(r, k) for r, pieces_, known_ in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for k in rare_keys([(p["key"], p["lo"], p["hi"]) for p in pieces_], {x["key"]: (x["n"], x["convs"]) for x in known_})]
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["run_id", "key"])
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, longest = [], []
+            for pieces_, keys in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                spans = [(p["lo"], p["hi"]) for p in pieces_ if p["key"] in set(keys)]
+                words.append(covered(spans))
+                longest.append(max((hi - lo for lo, hi in spans), default=0))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(words, pa.int32()), pa.array(longest, pa.int32())], ["run_id", "class_id", "words", "longest"])
+
+    chosen = known.select("run_id", "pieces", "known").mapInArrow(choose, "run_id long, key long")
+    pairs = chosen.join(by_key.select("key", "class_id"), "key").select("run_id", "class_id").distinct()
+    weighed = pairs.join(runs, "run_id").join(classes.select("class_id", "keys"), "class_id").select("run_id", "class_id", "pieces", "keys").mapInArrow(weigh, "run_id long, class_id long, words int, longest int")
+    each = weighed.join(classes.select("class_id", "firsts"), "class_id").select("run_id", (-F.col("words")).alias("less"), (-F.col("longest")).alias("longest"), F.explode("firsts").alias("first"))
+    each = each.groupBy("run_id", "first.conv").agg(F.min(F.struct("less", "longest", "first")).alias("best"))
+    two = each.withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy("best"))).where("k <= 2").groupBy("run_id").agg(F.array_sort(F.collect_list("best")).alias("two"))
+    return two.join(runs, "run_id").select(F.col("pieces").cast(kind).alias("pieces"), "two")
+
+
 def link_messages(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -188,21 +251,15 @@ def link_messages(
 
     found = asks.join(near, F.col("conv").eqNullSafe(F.col("at")), "left").select("conv", "asks", "holds").mapInArrow(search, f"conv string, row int, run int, pieces {kind}, words int, up int")
     total = F.col("pieces")[0]["hi"]
-    # What the conversation does not hold in full is looked for in others, by one holder a piece.
-    away = found.where(F.col("words") < total).select("conv", "row", "run", F.explode("pieces").alias("p")).select("conv", "row", "run", F.col("p.key").alias("key"), F.struct("p.lo", "p.hi").alias("span"))
-    # The earliest holders of two conversations: one of them is another than the asker's.
-    each = holds.groupBy("key", "conv").agg(F.min(F.struct("turn", "row")).alias("f")).select("key", "f.turn", "conv", "f.row")
-    two = each.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("turn", "conv", "row"))).where("k <= 2")
-    far = two.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.struct("turn", "conv", "row").alias("first")))).alias("two"))
-    other = F.when(F.col("two")[0]["first"]["conv"].eqNullSafe(F.col("conv")), F.get("two", F.lit(1))["first"]).otherwise(F.col("two")[0]["first"])
-    away = away.join(far, "key").withColumn("first", other).where("first is not null")
-    union = F.aggregate(
-        F.array_sort(F.collect_list("span")), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(s["lo"], x["end"]))).alias("n"), F.greatest(x["end"], s["hi"]).alias("end")), lambda x: x["n"],
-    )
-    away = away.groupBy("conv", "row", "run", "first").agg(union.alias("n"), F.max(F.col("span.hi") - F.col("span.lo")).alias("longest"))
-    away = away.groupBy("conv", "row", "run").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("longest")).alias("longest"), "first")).alias("best"))
-    away = away.select(F.col("conv").alias("at"), F.col("row").alias("r"), F.col("run").alias("k"), (-F.col("best.n")).alias("n"), "best.first")
+    # What the conversation does not hold in full is looked for in others.
+    found = cut(found, "runs-at-home")
+    away = found.where(F.col("words") < total)
+    elsewhere = best_elsewhere(away.select("pieces").distinct(), holds)
+    away = away.select("conv", "row", "run", "pieces").join(elsewhere, "pieces")
+    # Two holders of different conversations are known: one of them is in another than the asker's.
+    other = F.when(F.col("two")[0]["first"]["conv"].eqNullSafe(F.col("conv")), F.get("two", F.lit(1))).otherwise(F.col("two")[0])
+    away = away.withColumn("best", other).where("best is not null")
+    away = away.select(F.col("conv").alias("at"), F.col("row").alias("r"), F.col("run").alias("k"), (-F.col("best.less")).alias("n"), "best.first")
     found = found.join(away, F.col("conv").eqNullSafe(F.col("at")) & (F.col("row") == F.col("r")) & (F.col("run") == F.col("k")), "left")
     here = F.coalesce(F.col("words") >= F.col("n"), F.lit(True)) & F.col("up").isNotNull()
     parent = F.when(here, F.struct("conv", F.col("up").alias("row"))).when(F.col("n").isNotNull(), F.struct(F.col("first.conv").alias("conv"), F.col("first.row").alias("row")))
