@@ -154,3 +154,16 @@ def test_interval_expansion_against_counting():
         seen = Counter(x[k : k + length] for x in ranges for k in range(len(x) - length + 1))
         want = [[k for k in range(len(x) - length + 1) if seen[x[k : k + length]] > 1] for x in ranges]
         assert [g.tolist() for g in repeats.repeats_among(ranges, length)] == want
+
+
+def test_strings_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse bytes and their complement: equal under any polynomial modulo a power of two, different in every byte."""
+    rng = random.Random(4)
+    turn = [bin(k).count("1") % 2 for k in range(1024)]
+    head, tail = ("".join(rng.choice("klmnop") for _ in range(200)) for _ in range(2))
+    texts = [head + "".join("ab"[t] for t in turn) + tail, head + "".join("ba"[t] for t in turn) + tail]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length, shard in ((1200, 4 << 20), (1200, 1), (150, 4 << 20)):
+        got = {r.id: bytes(r.kept) for r in repeats.remove_repeats(df, length=length, gram=64, shard_bytes=shard).collect()}
+        assert got == {i: kept for i, _, kept in brute_repeats(list(enumerate(texts)), length)}
+    assert got != dict(enumerate(t.encode() for t in texts))  # the equal ends go

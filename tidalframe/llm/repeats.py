@@ -22,8 +22,11 @@ Every byte that a ``length``-byte string covers which also starts anywhere else
 4. An anchor with more than ``shard_bytes`` of distinct ranges is not gathered:
    its starts are counted by a 128-bit hash of their whole strings.
 
-Equality of ranges is equality of a 128-bit hash. What is broadcast are bit
-filters of bounded size.
+Equality of ranges, and of strings in 4, is equality of their 128-bit XXH3 hash:
+of n different ranges some two are taken for equal with a chance of about
+n^2 / 2^129 (10^-15 for 10^12 of them), whatever their bytes have in common; it
+is no hash against somebody who makes collisions on purpose. What is broadcast
+are bit filters of bounded size.
 
 Defined results: null text is empty; texts shorter than ``length`` lose
 nothing; a repeated row is a copy like any other; an empty table gives an
@@ -37,53 +40,47 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BitFilter, bytes_of, cut, mix, signed
 
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_BASE = [0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1]
+_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Rolling:
-    """Hashes of byte ranges of one text, two of 64 bits, from prefix sums."""
+    """64-bit hashes of all pieces of one size of a text, from prefix sums. They choose anchors and decide nothing."""
 
-    _powers: list[list[np.ndarray]] = [[], []]
+    _powers: list[np.ndarray] = []
 
     @classmethod
-    def powers(cls, n: int) -> list[list[np.ndarray]]:
-        if not cls._powers[0] or len(cls._powers[0][0]) < n:
-            n = max(n, 1 << 16)
-            for k, base in enumerate(_BASE):
-                one, inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-                both = []
-                for b in (one, inverse):
-                    p = np.full(n, b, np.uint64)
-                    p[0] = 1
-                    both.append(np.cumprod(p, dtype=np.uint64))
-                cls._powers[k] = both
+    def powers(cls, n: int) -> list[np.ndarray]:
+        if not cls._powers or len(cls._powers[0]) < n:
+            both = []
+            for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+                p = np.full(max(n, 1 << 16), np.uint64(b))
+                p[0] = 1
+                both.append(np.cumprod(p, dtype=np.uint64))
+            cls._powers = both
         return cls._powers
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.inverse, self.sums = [], []
-        for k, (up, down) in enumerate(self.powers(n + 1)):
-            s = np.empty(n + 1, np.uint64)
-            s[0] = 0
-            np.cumsum(_BYTE[k][data] * up[:n], dtype=np.uint64, out=s[1:])
-            self.sums.append(s)
-            self.inverse.append(down)
+        up, self.inverse = self.powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
-    def __call__(self, k: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][stop] - self.sums[k][start]) * self.inverse[k][start] + (stop - start).astype(np.uint64))
+    def all_of(self, length: int) -> np.ndarray:
+        n = len(self.sums) - length
+        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + np.uint64(length))
 
-    def all_of(self, k: int, length: int) -> np.ndarray:
-        s = self.sums[k]
-        n = len(s) - length
-        return mix((s[length:] - s[:n]) * self.inverse[k][:n] + np.uint64(length))
+
+def digests(pieces: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each piece's 128-bit hash."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -98,21 +95,21 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:m], ahead[width - 1 : width - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def ranges_of(data: np.ndarray, length: int, gram: int):
+def ranges_of(text: bytes, length: int, gram: int):
     """Ranges of starts of ``length``-byte strings with one anchor.
 
     Returns (first start, last start, anchor hash, two hashes of all bytes that
     the range's strings cover).
     """
+    data = np.frombuffer(text, np.uint8)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
     if len(data) < length:
         return none
-    roll = Rolling(data)
-    h = roll.all_of(0, gram)
+    h = Rolling(data).all_of(gram)
     at = sliding_argmin(h, length - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-    return first, last, h[at[first]], roll(0, first, last + length), roll(1, first, last + length)
+    return first, last, h[at[first]], *digests(text[a : z + length] for a, z in zip(first.tolist(), last.tolist(), strict=True))
 
 
 def sort_suffixes(symbols: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
@@ -248,7 +245,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str]
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [ranges_of(np.frombuffer(t, np.uint8), length, gram) for t in bytes_of(b.column(2))]
+            found = [ranges_of(t, length, gram) for t in bytes_of(b.column(2))]
             n = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
             k1, k2 = (np.repeat(b.column(k).to_numpy(), n) for k in (0, 1))
             first, last, *hashes = (np.concatenate([f[k] for f in found]) for k in range(5))
@@ -282,7 +279,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str]
         for b in batches:
             rows = []
             for t in bytes_of(b.column(0)):
-                first, last, anchor, c1, c2 = ranges_of(np.frombuffer(t, np.uint8), length, gram)
+                first, last, anchor, c1, c2 = ranges_of(t, length, gram)
                 for k in np.flatnonzero(bits.has(c1)).tolist():
                     name = (int(anchor[k].view(np.int64)), int(c1[k].view(np.int64)), int(c2[k].view(np.int64)))
                     if name not in seen:
@@ -302,9 +299,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", key_cols: list[str]
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, c1, c2, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                roll = Rolling(np.frombuffer(data, np.uint8))
-                w1, w2 = roll.all_of(0, length), roll.all_of(1, length)
-                n = len(w1)
+                n = len(data) - length + 1
+                w1, w2 = digests(data[k : k + length] for k in range(n))
                 yield pa.record_batch([pa.array([x] * n, pa.int64()) for x in (a, c1, c2)] + [pa.array(np.arange(n, dtype=np.int32)), signed(w1), signed(w2)], [*_CONTEXT, "lo", "w1", "w2"])
 
     starts = large.select(*_CONTEXT, "bytes").mapInArrow(windows, "anchor long, c1 long, c2 long, lo int, w1 long, w2 long")
