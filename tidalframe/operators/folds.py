@@ -175,18 +175,22 @@ def trend_filter(y: np.ndarray, obs: float, level: float, slope: float) -> tuple
     return lv, sl, like
 
 
+def trend_variances(v: np.ndarray) -> tuple[float, float, float]:
+    """Variances of observation, level and slope by maximum likelihood; gaps are NaN."""
+    from .optimize import nelder_mead
+
+    seen = v[np.isfinite(v)]
+    base = max(float(np.nanvar(np.diff(seen))) if len(seen) > 2 else 1.0, 1e-12)
+    best = nelder_mead(lambda p: -trend_filter(v, *np.exp(np.clip(p, -40, 40)))[2], np.log([base / 2, base / 2, base / 100]), steps=150)
+    return tuple(np.exp(np.clip(best, -40, 40)).tolist())
+
+
 def local_linear_trend(df: DataFrame, key: str, order: str, x: str, fixed: tuple[float, float, float] | None = None) -> DataFrame:
     """``level, trend``: with ``fixed`` variances (observation, level, slope), else by maximum likelihood."""
-    from .optimize import nelder_mead
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, at = known(pdf[x])
-        params = fixed
-        if params is None:
-            base = max(float(np.nanvar(np.diff(v[at]))) if at.sum() > 2 else 1.0, 1e-12)
-            best = nelder_mead(lambda p: -trend_filter(v, *np.exp(np.clip(p, -40, 40)))[2], np.log([base / 2, base / 2, base / 100]), steps=150)
-            params = tuple(np.exp(np.clip(best, -40, 40)))
-        level, slope, _ = trend_filter(v, *params)
+        v, _ = known(pdf[x])
+        level, slope, _ = trend_filter(v, *(trend_variances(v) if fixed is None else fixed))
         return pdf.assign(level=level, trend=slope)
 
     return _null(grouped(df, key, order, {"level": "double", "trend": "double"}, f), "level", "trend")
