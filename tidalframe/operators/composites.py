@@ -169,27 +169,6 @@ def structure(df: DataFrame, key: str, order: str, x: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(run, f"{key} string, entropy double, n_effective double")
 
 
-def surrogate_test(df: DataFrame, order: str, x: str, y: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Share of phase-randomised surrogates of ``x`` whose correlation with ``y`` is as large: draws fan out."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(order).select(x, y).collect()
-    a, b = (np.array([r[k] for r in rows], float) for k in (0, 1))
-    real = float(np.corrcoef(a, b)[0, 1]) if len(a) > 2 else 0.0
-
-    def run(batches):
-        f = np.fft.rfft(a - a.mean())
-        for pdf in batches:
-            out = []
-            for k in pdf["id"]:
-                phase = np.random.default_rng((seed, int(k))).uniform(0, 2 * math.pi, len(f))
-                phase[0] = 0
-                s = np.fft.irfft(np.abs(f) * np.exp(1j * phase), len(a))
-                out.append(float(np.corrcoef(s, b)[0, 1]))
-            yield pd.DataFrame({"c": out})
-
-    s = df.sparkSession.range(draws).mapInPandas(run, "c double")
-    return s.agg(F.lit(real).alias("corr"), ((F.sum((F.abs("c") >= abs(real)).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
-
-
 def quantile_bands(x: Column | str, w, n: int, least: int, qs: tuple[float, ...] = (0.05, 0.95)) -> dict[str, Column]:
     """Rolling empirical quantiles of the rows before the current one."""
     c = F.col(x) if isinstance(x, str) else x

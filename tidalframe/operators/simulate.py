@@ -109,25 +109,6 @@ def drift_and_volatility(df: DataFrame, key: str, order: str, x: str, last: int,
     return d.groupBy(key).agg((F.avg("_g") * yearly + F.var_samp("_g") * yearly / 2).alias("mu"), (F.stddev_samp("_g") * F.sqrt(F.lit(yearly))).alias("sigma"))
 
 
-def block_bootstrap(df: DataFrame, order: str, x: str, block: int, replicates: int, seed: int) -> DataFrame:
-    """Moving-block means: replicate ids fan out; the one series (bounded by its dates) is in the closure."""
-    values = np.array([row[0] for row in df.where(F.col(x).isNotNull()).orderBy(order).select(x).collect()], float)
-    spark = df.sparkSession
-
-    def run(batches):
-        n = len(values)
-        for pdf in batches:
-            rows = []
-            for k in pdf["id"]:
-                rng = np.random.default_rng((seed, int(k)))
-                starts = rng.integers(0, max(1, n - block + 1), -(-n // block))
-                rows.append(values[(starts[:, None] + np.arange(block)).ravel()[:n] % n].mean())
-            yield pd.DataFrame({"replicate": pdf["id"], "mean": rows})
-
-    reps = spark.range(replicates).mapInPandas(run, "replicate long, mean double")
-    return reps.agg(F.count("*").alias("n"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-
-
 def arma_residuals(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     """Conditional residuals, before the start all zero."""
     e = np.zeros(len(x))
@@ -144,28 +125,6 @@ def arma_fit(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, flo
     return c[:p], c[p:], n * math.log(max(f(c), 1e-300) / n) + 2 * (p + q + 1)
 
 
-def walk_forward(df: DataFrame, order: str, x: str, test: int, orders=((0, 1), (1, 0), (1, 1), (0, 2)), refit: int = 20) -> DataFrame:
-    """One-step errors over the last ``test`` rows of ARIMA(p, 1, q), a random walk and an AR(1) of changes: an order a task."""
-    values = [row[0] for row in df.where(F.col(x).isNotNull()).orderBy(order).select(x).collect()]
-    spark = df.sparkSession
-    models = spark.createDataFrame([("rw", 0, 0), ("ar1", 1, 0), *[(f"arima{p}1{q}", p, q) for p, q in orders]], "model string, p int, q int")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q, d = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), np.diff(np.array(values, float))
-        n, first = len(d), max(len(d) - test, 3)
-        errors, ar, ma, aic = [], np.zeros(p), np.zeros(q), 0.0
-        for k, t in enumerate(range(first, n)):
-            if k % refit == 0 and p + q:
-                ar, ma, aic = arma_fit(d[:t], p, q)
-            e = arma_residuals(d[:t], ar, ma) if q else None
-            guess = sum(a * d[t - 1 - j] for j, a in enumerate(ar)) + (sum(b * e[t - 1 - j] for j, b in enumerate(ma)) if q else 0.0)
-            errors.append(d[t] - guess)
-        rmse = math.sqrt(np.mean(np.square(errors))) if errors else math.nan
-        return pd.DataFrame({"model": pdf["model"], "n": [len(errors)], "rmse": [rmse], "aic": [aic]})
-
-    return models.groupBy("model").applyInPandas(run, "model string, n long, rmse double, aic double")
-
-
 def hamilton(x: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Filtered chance of the high-variance regime of two, by EM."""
     v = np.var(x) or 1.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, scalars
 from ..functions import windows as W
 from ..operators import evaluate as E
-from ..operators import folds, linear, ml, simulate, survival, vectors
+from ..operators import arima, folds, linear, ml, resampling, simulate, survival, vectors
 from ..operators import relational as R
 from ..registry import query, r, r_all, table
 from .analogues import PAIR, WEEKLY, pair, weekly
@@ -501,7 +501,7 @@ def _(spark, d):
 
 @query("M10_block_bootstrap")
 def _(spark, d):
-    return r_all(simulate.block_bootstrap(pair(spark, d), "date", "spread", 13, 2000, 42))
+    return r_all(resampling.block_bootstrap(pair(spark, d), "series_id", "date", "spread", block=13, replicates=2000, seed=42))
 
 
 @query("M14_purged_cross_validation")
@@ -529,7 +529,7 @@ def _(spark, d):
 
 @query("T05_arima")
 def _(spark, d):
-    return r_all(simulate.walk_forward(pair(spark, d), "date", "spread", 60), 4)
+    return r_all(arima.walk_forward(pair(spark, d), "series_id", "date", "spread", 60, ((1, 0), (0, 1), (1, 1), (0, 2))), 4)
 
 
 @query("T08_regimes")

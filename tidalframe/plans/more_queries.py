@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, scalars
 from ..functions import windows as W
 from ..operators import composites as C
-from ..operators import folds
+from ..operators import calibrated, folds, resampling
 from ..operators import relational as R
 from ..registry import query, r, r_all, table
 from .analogues import DAILY, MONTHLY, PAIR, POSITIONS, WEEKLY, daily, monthly, pair, positions, weekly
@@ -168,7 +168,7 @@ def _(spark, d):
 
 @query("M13_surrogates")
 def _(spark, d):
-    return r_all(C.surrogate_test(pair(spark, d), "date", "y", "z"))
+    return r_all(resampling.surrogate_test(pair(spark, d), "series_id", "date", "y", "z"))
 
 
 @query("T12_band_pass")
@@ -205,6 +205,18 @@ def _(spark, d):
     return _text_date(C.orthogonal_residual(pair(spark, d), "series_id", "y", "z").select("date", r(F.col("residual") / F.pi(), 4).alias("residual")))
 
 
+def _predicted(spark, d):
+    """Does a leg rise over the next four weeks? By the trailing scores of all priorities."""
+    w = _by()
+    p = weekly(spark, d).select("series_id", "date", (F.lead("value", 4).over(w) > F.col("value")).cast("int").alias("up"), W.rolling_z("value", w, 26, 13).alias("a"), W.rolling_z("n", w, 26, 13).alias("b"))
+    return calibrated.walk_forward(p, "series_id", "date", "up", ["a", "b"], least=104, step=13, embargo=4)
+
+
+@query("M04_calibrated_scores")
+def _(spark, d):
+    return r_all(calibrated.scores(_predicted(spark, d), "series_id", "up"), 5)
+
+
 @query("M04_walk_forward_logit")
 def _(spark, d):
     from ..operators.ml import walk_forward_logit

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import relational as R
+from ..operators import resampling
 from ..operators import validation as V
 from ..registry import query, r_all
 from .analogues import PAIR, WEEKLY, pair, weekly
@@ -58,3 +59,12 @@ def _(spark, d):
     fit = V.lag_weighted_regression(k.select("y", "lags"), "y", "lags", 8)
     rows = [("n", float(fit["n"])), ("intercept", float(fit["coef"][0])), ("slope", float(fit["coef"][1])), ("r2", float(fit["r2"])), *[(f"weight{i}", float(v)) for i, v in enumerate(fit["weights"])]]
     return r_all(spark.createDataFrame(rows, "name string, value double"), 4)
+
+
+@query("R22_roll_leak_test")
+def _(spark, d):
+    """Are spliced returns larger on quarterly rolls than on other weeks?"""
+    w = W.by("series_id", "date")
+    c = F.floor(F.date_diff("date", F.lit("1990-01-05").cast("date")) / 91.0)
+    f = weekly(spark, d).select("series_id", "date", "value", c.alias("c")).withColumn("ret", F.col("value") / F.lag("value").over(w) - 1).withColumn("roll", F.col("c") != F.lag("c").over(w))
+    return r_all(resampling.roll_leak_test(f, "series_id", "date", "ret", F.col("roll")), 5)
