@@ -112,13 +112,34 @@ def test_ordered_logit_reaches_the_optimum(spark):
         ml.ordered_logit(df, "y", ["a", "b"], rounds=2)
 
 
-def test_simulations_have_the_reference_size(spark, tmp_path):
-    q, none = entry.queries(), str(tmp_path)
-    assert {r.n for r in q["G02_G03_paths"](spark, none).select("n").collect()} == {10000}
-    whole = simulate.desk_metrics(simulate.gbm_paths(spark, 4.0, 10000, 30, 0.0, 0.2, 42), 4.2, 0.95).first()
-    assert np.allclose(q["G04_desk_metrics"](spark, none).first(), whole, atol=1e-6)
-    if Path("/root/testdata/sf0.001").exists():
-        assert q["M10_block_bootstrap"](spark, "/root/testdata/sf0.001").first().n == 2000
+def motions(spark):
+    return spark.createDataFrame([("a", 4.0, 0.0, 0.2), ("b", 1.0, 0.1, 0.3), ("none", None, 0.1, 0.3)], "k string, start double, mu double, sigma double")
+
+
+def test_paths_of_a_table_of_parameters(spark):
+    p = simulate.gbm_paths(motions(spark), "k", 10000, 30, 42)
+    assert {(r.k, r["count"]) for r in p.groupBy("k").count().collect()} == {("a", 310000), ("b", 310000)}
+    got = {r.k: r for r in simulate.desk_metrics(p, "k", 1.05, 0.95).collect()}
+    again = {r.k: r for r in simulate.desk_metrics(simulate.gbm_paths(motions(spark).repartition(7), "k", 10000, 30, 42), "k", 1.05, 0.95).collect()}
+    assert again.keys() == got.keys() and all(np.allclose(again[k][1:], got[k][1:], rtol=1e-12) for k in got)
+    rows = np.array([(r.path, r.step, r.value) for r in p.where("k = 'a'").collect()])
+    level = np.zeros((10000, 31))
+    level[rows[:, 0].astype(int), rows[:, 1].astype(int)] = rows[:, 2]
+    pnl = -(level[:, -1] - 4) * 100
+    var = np.percentile(pnl, 5)
+    assert np.allclose([got["a"].touch, got["a"].var, got["a"].shortfall], [(level.max(1) >= 4.2).mean(), var, pnl[pnl <= var].mean()])
+    fan = {(r.k, r.step): r for r in simulate.closed_form_fan(motions(spark).dropna(), "k", 30).collect()}
+    assert abs(np.percentile(level[:, 30], 95) / fan["a", 30].q95 - 1) < 0.01 and abs(np.median(level[:, 30]) / fan["a", 30].q50 - 1) < 0.01
+
+
+def test_other_processes(spark):
+    h = spark.createDataFrame([("a", 1.0, 0.0, 0.04, 3.0, 0.04, 0.2, -0.5)], "k string, start double, mu double, v0 double, kappa double, theta double, xi double, rho double")
+    s = simulate.path_summary(simulate.heston_paths(h, "k", 20000, 20, 3), "k").where("step = 20").first()
+    assert s.n == 20000 and math.isclose(s.mean, 1.0, abs_tol=0.003) and math.isclose(s.sd, 0.2 * math.sqrt(20 / 252), rel_tol=0.05)
+    v = spark.createDataFrame([("a", 3.0, 5.0, 2.0, 0.4)], "k string, start double, kappa double, mean double, sigma double")
+    for root in (False, True):
+        s = simulate.path_summary(simulate.mean_reverting_paths(v, "k", 4000, 252, 3, root), "k").where("step = 252").first()
+        assert math.isclose(s.mean, 2 + math.exp(-5), abs_tol=0.03)
 
 
 def test_ew_moments_against_pandas():
@@ -185,7 +206,8 @@ def test_distribution_functions():
 
 
 def test_simulated_moments(spark):
-    p = simulate.path_summary(simulate.gbm_paths(spark, 1.0, 20000, 10, 0.0, 0.2, 1)).where("step = 10").first()
+    one = spark.createDataFrame([("a", 1.0, 0.0, 0.2)], "k string, start double, mu double, sigma double")
+    p = simulate.path_summary(simulate.gbm_paths(one, "k", 20000, 10, 1), "k").where("step = 10").first()
     assert p.n == 20000 and math.isclose(p.mean, 1.0, abs_tol=0.003) and math.isclose(p.sd, 0.2 * math.sqrt(10 / 252), rel_tol=0.05)
 
 

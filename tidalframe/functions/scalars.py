@@ -172,11 +172,20 @@ def direction(text: Column | str, up: list[str], down: list[str]) -> Column:
 
 
 def word_score(text: Column | str, weights: dict[str, float], clip: float = 7.5) -> Column:
-    """Sum of the words' weights for each word, times 100, clipped; 0 without words."""
-    words = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    """Sum of the words' weights for each word, times 100, clipped; 0 without words, null for a null text.
+
+    The words are bound once by the outer lambda: without it the expression
+    behind ``words`` would be evaluated for their number and again for their sum.
+    """
+    found = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[a-z]+(?:'[a-z]+)?"), F.lit(0))
     known = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(known[w], F.lit(0.0)))
-    return F.when(F.size(words) > 0, F.least(F.lit(clip), F.greatest(F.lit(-clip), total / F.size(words) * 100))).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        held = F.filter(words, lambda w: w.isin(*weights))
+        total = F.aggregate(held, F.lit(0.0), lambda s, w: s + known[w])
+        return F.when(F.size(words) > 0, F.least(F.lit(clip), F.greatest(F.lit(-clip), total / F.size(words) * 100))).otherwise(0.0)
+
+    return F.transform(F.array(found), score)[0]
 
 
 def barometer(score: Column | str, clip: float = 7.5) -> Column:

@@ -216,7 +216,7 @@ def interval_share(df: DataFrame, key: str, group: str, inside: Column, k: float
     return j.select(key, share.alias("share"))
 
 
-def dispersed(paths: DataFrame, step: str, value: str, factor: float, tilt: float = 0.0) -> DataFrame:
-    """Paths spread about each step's median by ``factor``, then shifted by ``tilt`` a step."""
-    m = paths.groupBy(step).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return paths.join(m, step).withColumn(value, F.col("_m") + (F.col(value) - F.col("_m")) * factor + tilt * F.col(step)).drop("_m")
+def dispersed(paths: DataFrame, key: str, step: str, value: str, factor: float, tilt: float = 0.0) -> DataFrame:
+    """Paths spread about each key's and step's median by ``factor``, then shifted by ``tilt`` a step."""
+    m = paths.groupBy(key, step).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    return paths.join(m, [key, step]).withColumn(value, F.col("_m") + (F.col(value) - F.col("_m")) * factor + tilt * F.col(step)).drop("_m")

@@ -124,26 +124,29 @@ def _null(df: DataFrame, *cols: str) -> DataFrame:
 def kalman_regression(y: np.ndarray, x: np.ndarray, delta: float = 1e-4, least: int = 30) -> dict[str, np.ndarray]:
     """Random-walk intercept and slope; ``resid`` is the one-step innovation.
 
-    The observation variance is the static regression's (two degrees of
-    freedom fewer), the state starts diffuse.
+    With two states the filter is five plain numbers a row. The observation
+    variance is the static regression's (two degrees of freedom fewer; 1e-6 for
+    an exact fit), the state starts diffuse.
     """
-    n = len(y)
-    out = {k: np.full(n, np.nan) for k in ("alpha", "beta", "resid")}
+    out = {k: np.full(len(y), np.nan) for k in ("alpha", "beta", "resid")}
     at = np.flatnonzero(np.isfinite(y) & np.isfinite(x))
     if len(at) < least:
         return out
-    design = np.column_stack([np.ones(len(at)), x[at]])
-    coef, *_ = np.linalg.lstsq(design, y[at], rcond=None)
-    r = float(((y[at] - design @ coef) ** 2).sum() / (len(at) - 2)) or 1e-12
-    q, state, p = delta / (1 - delta) * r * np.eye(2), np.zeros(2), 1000.0 * np.eye(2)
-    for k in at:
-        h = np.array([1.0, x[k]])
-        p = p + q
-        innovation = y[k] - h @ state
-        gain = p @ h / (h @ p @ h + r)
-        state = state + gain * innovation
-        p = p - np.outer(gain, h) @ p
-        out["alpha"][k], out["beta"][k], out["resid"][k] = state[0], state[1], innovation
+    u, v = x[at] - x[at].mean(), y[at] - y[at].mean()
+    left = v - u * (u @ v / (u @ u) if u.any() else 0.0)
+    noise = float(left @ left) / (len(at) - 2) or 1e-6
+    drift = noise * delta / (1 - delta)
+    alpha = beta = both = 0.0
+    var_a = var_b = 1000.0
+    for k, xk, yk in zip(at.tolist(), x[at].tolist(), y[at].tolist(), strict=True):
+        var_a, var_b = var_a + drift, var_b + drift
+        # How the states move with the forecast, and how far that is spread.
+        with_a, with_b = var_a + both * xk, both + var_b * xk
+        spread = with_a + with_b * xk + noise
+        miss = yk - alpha - beta * xk
+        alpha, beta = alpha + with_a * miss / spread, beta + with_b * miss / spread
+        var_a, both, var_b = var_a - with_a * with_a / spread, both - with_a * with_b / spread, var_b - with_b * with_b / spread
+        out["alpha"][k], out["beta"][k], out["resid"][k] = alpha, beta, miss
     return out
 
 

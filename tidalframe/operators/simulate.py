@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
@@ -16,82 +17,90 @@ from .optimize import nelder_mead
 Z95 = 1.6448536269514722
 
 
-def closed_form_fan(spark: SparkSession, start: float, drift: float, sigma: float, steps: int, yearly: float = 252.0) -> DataFrame:
-    """5, 50 and 95 percent quantiles of geometric Brownian motion."""
-    t = F.col("id") / yearly
-    q = lambda z: start * F.exp((drift - sigma * sigma / 2) * t + z * sigma * F.sqrt(t))
-    return spark.range(1, steps + 1).select(F.col("id").cast("int").alias("step"), q(-Z95).alias("q05"), q(0.0).alias("q50"), q(Z95).alias("q95"))
+def closed_form_fan(params: DataFrame, key: str, steps: int, yearly: float = 252.0) -> DataFrame:
+    """``key, step, q05, q50, q95`` of geometric Brownian motion, from ``key, start, mu, sigma`` (yearly)."""
+    t = F.col("step") / yearly
+    q = lambda z: F.col("start") * F.exp((F.col("mu") - F.col("sigma") ** 2 / 2) * t + z * F.col("sigma") * F.sqrt(t))
+    each = params.select(key, "start", "mu", "sigma", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    return each.select(key, "step", q(-Z95).alias("q05"), q(0.0).alias("q50"), q(Z95).alias("q95"))
 
 
-def _paths(spark: SparkSession, pairs: int, steps: int, chunk: int, seed: int, draw) -> DataFrame:
-    """``path, step, value`` of antithetic pairs; each chunk of pairs has a generator of its own."""
-    chunks = -(-pairs // chunk)
+def _paths(params: DataFrame, key: str, names: list[str], paths: int, steps: int, seed: int, chunk: int, draw) -> DataFrame:
+    """``key, path, step, value`` of antithetic pairs for each row of parameters; rows are dealt to tasks in chunks of pairs.
+
+    A chunk's generator depends on the seed, the key and the chunk's number only. Rows with a null parameter have no paths.
+    """
+    pairs = paths // 2
+    d = params.select(F.col(key).cast("string").alias("_key"), *[F.col(n).cast("double") for n in names]).dropna()
+    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-pairs // chunk) - 1)))).repartition("_key", "_chunk")
 
     def run(batches):
         for pdf in batches:
-            for k in pdf["id"]:
-                n = min(chunk, pairs - k * chunk)
-                values = draw(np.random.default_rng((seed, int(k))), n)
-                path = np.repeat(np.arange(2 * n) + 2 * k * chunk, steps + 1)
-                yield pd.DataFrame({"path": path, "step": np.tile(np.arange(steps + 1), 2 * n).astype(np.int32), "value": values.ravel()})
+            for row in pdf.itertuples(index=False):
+                n = min(chunk, pairs - row[-1] * chunk)
+                values = draw(np.random.default_rng((seed, zlib.crc32(row[0].encode()), int(row[-1]))), n, dict(zip(names, row[1:-1], strict=True)))
+                path = np.repeat(np.arange(2 * n) + 2 * row[-1] * chunk, steps + 1)
+                yield pd.DataFrame({"_key": row[0], "path": path, "step": np.tile(np.arange(steps + 1), 2 * n).astype(np.int32), "value": values.ravel()})
+
+    return d.mapInPandas(run, "_key string, path long, step int, value double").withColumnRenamed("_key", key)
 
-    return spark.range(0, chunks, 1, max(1, min(chunks, 64))).mapInPandas(run, "path long, step int, value double")
 
+def gbm_paths(params: DataFrame, key: str, paths: int, steps: int, seed: int, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
+    """Geometric Brownian motion from ``start, mu, sigma``."""
 
-def gbm_paths(spark, start: float, paths: int, steps: int, mu: float, sigma: float, seed: int, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
-    def draw(rng, n):
+    def draw(rng, n, p):
         z = rng.standard_normal((n, steps))
-        z = np.concatenate([z, -z]) * sigma / math.sqrt(yearly) + (mu - sigma * sigma / 2) / yearly
-        return start * np.exp(np.concatenate([np.zeros((2 * n, 1)), np.cumsum(z, axis=1)], axis=1))
+        z = np.concatenate([z, -z]) * p["sigma"] / math.sqrt(yearly) + (p["mu"] - p["sigma"] ** 2 / 2) / yearly
+        return p["start"] * np.exp(np.concatenate([np.zeros((2 * n, 1)), np.cumsum(z, axis=1)], axis=1))
 
-    return _paths(spark, paths // 2, steps, chunk, seed, draw)
+    return _paths(params, key, ["start", "mu", "sigma"], paths, steps, seed, chunk, draw)
 
 
-def heston_paths(spark, start: float, paths: int, steps: int, p: dict, seed: int, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
-    """Stochastic variance by full truncation."""
+def heston_paths(params: DataFrame, key: str, paths: int, steps: int, seed: int, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
+    """Stochastic variance by full truncation, from ``start, mu, v0, kappa, theta, xi, rho``."""
 
-    def draw(rng, n):
+    def draw(rng, n, p):
         dt = 1 / yearly
         z1, z2 = rng.standard_normal((2, n, steps))
         z1, z2 = np.concatenate([z1, -z1]), np.concatenate([z2, -z2])
         z2 = p["rho"] * z1 + math.sqrt(1 - p["rho"] ** 2) * z2
-        v, x = np.full(2 * n, p["v0"]), np.full((2 * n, steps + 1), math.log(start))
+        v, x = np.full(2 * n, p["v0"]), np.full((2 * n, steps + 1), math.log(p["start"]))
         for k in range(steps):
             up = np.maximum(v, 0)
             x[:, k + 1] = x[:, k] + (p["mu"] - up / 2) * dt + np.sqrt(up * dt) * z1[:, k]
             v = v + p["kappa"] * (p["theta"] - up) * dt + p["xi"] * np.sqrt(up * dt) * z2[:, k]
         return np.exp(x)
 
-    return _paths(spark, paths // 2, steps, chunk, seed, draw)
+    return _paths(params, key, ["start", "mu", "v0", "kappa", "theta", "xi", "rho"], paths, steps, seed, chunk, draw)
 
 
-def mean_reverting_paths(spark, start: float, paths: int, steps: int, kappa: float, mean: float, sigma: float, seed: int, root: bool = False, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
-    """Vasicek, or with ``root`` the square-root process truncated at zero."""
+def mean_reverting_paths(params: DataFrame, key: str, paths: int, steps: int, seed: int, root: bool = False, yearly: float = 252.0, chunk: int = 500) -> DataFrame:
+    """Vasicek, or with ``root`` the square-root process truncated at zero, from ``start, kappa, mean, sigma``."""
 
-    def draw(rng, n):
+    def draw(rng, n, p):
         z = rng.standard_normal((n, steps))
         z, dt = np.concatenate([z, -z]), 1 / yearly
-        x = np.full((2 * n, steps + 1), start)
+        x = np.full((2 * n, steps + 1), p["start"])
         for k in range(steps):
-            scale = sigma * np.sqrt(np.maximum(x[:, k], 0)) if root else sigma
-            x[:, k + 1] = x[:, k] + kappa * (mean - x[:, k]) * dt + scale * math.sqrt(dt) * z[:, k]
+            scale = p["sigma"] * np.sqrt(np.maximum(x[:, k], 0)) if root else p["sigma"]
+            x[:, k + 1] = x[:, k] + p["kappa"] * (p["mean"] - x[:, k]) * dt + scale * math.sqrt(dt) * z[:, k]
         return x
 
-    return _paths(spark, paths // 2, steps, chunk, seed, draw)
+    return _paths(params, key, ["start", "kappa", "mean", "sigma"], paths, steps, seed, chunk, draw)
 
 
-def path_summary(paths: DataFrame) -> DataFrame:
+def path_summary(paths: DataFrame, key: str) -> DataFrame:
     qs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    return paths.groupBy("step").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", F.lit(q)).alias(k) for k, q in qs.items()])
+    return paths.groupBy(key, "step").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", F.lit(q)).alias(k) for k, q in qs.items()])
 
 
-def desk_metrics(paths: DataFrame, barrier: float, level: float, dv01: float = 1.0) -> DataFrame:
-    """Chance to touch a barrier, and value at risk and expected shortfall of the last step's change."""
-    last = paths.groupBy("path").agg(F.max("value").alias("hi"), F.max_by("value", "step").alias("end"), F.min_by("value", "step").alias("start"))
+def desk_metrics(paths: DataFrame, key: str, barrier: float, level: float, dv01: float = 1.0) -> DataFrame:
+    """A key's chance to touch ``barrier`` times the start, and value at risk and expected shortfall of the last step's change."""
+    last = paths.groupBy(key, "path").agg(F.max("value").alias("hi"), F.max_by("value", "step").alias("end"), F.min_by("value", "step").alias("start"))
     last = last.withColumn("pnl", -(F.col("end") - F.col("start")) * 100 * dv01)
-    var = last.agg(F.percentile("pnl", F.lit(1 - level)).alias("var"))
-    j = last.join(F.broadcast(var))
-    return j.agg(F.avg((F.col("hi") >= barrier).cast("double")).alias("touch"), F.first("var").alias("var"), F.avg(F.when(F.col("pnl") <= F.col("var"), F.col("pnl"))).alias("shortfall"))
+    var = last.groupBy(key).agg(F.percentile("pnl", F.lit(1 - level)).alias("var"))
+    touch = F.avg((F.col("hi") >= barrier * F.col("start")).cast("double"))
+    return last.join(var, key).groupBy(key).agg(touch.alias("touch"), F.first("var").alias("var"), F.avg(F.when(F.col("pnl") <= F.col("var"), F.col("pnl"))).alias("shortfall"))
 
 
 def mean_reversion(df: DataFrame, key: str, order: str, x: str, yearly: float) -> DataFrame:

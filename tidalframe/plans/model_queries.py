@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, scalars
 from ..functions import windows as W
+from ..operators import composites as C
 from ..operators import evaluate as E
 from ..operators import arima, folds, linear, ml, resampling, simulate, survival, vectors
 from ..operators import relational as R
@@ -43,10 +44,13 @@ def _(spark, d):
     return p.select("tenor", r("y").alias("y"), r(b["price"], 8).alias("price"), r(b["duration"], 8).alias("duration"))
 
 
-@query("F05_lag_weights", "WITH g AS (SELECT i, (i / 13.0) ** 0.5 * (1 - i / 13.0) ** 2 AS b, exp(0.1 * (i - 1) - 0.02 * (i - 1) ** 2) AS a FROM unnest(range(1, 13)) AS r(i)) SELECT CAST(i AS INTEGER) AS lag, round(b / sum(b) OVER (), 8) + 0.0 AS beta, round(a / sum(a) OVER (), 8) + 0.0 AS almon FROM g")
+@query("F05_lag_weights", f"""WITH {WEEKLY}, g AS (SELECT i, (i / 13.0) ** 0.5 * (1 - i / 13.0) ** 2 AS b, exp(0.1 * (i - 1) - 0.02 * (i - 1) ** 2) AS a FROM unnest(range(1, 13)) AS r(i)), w AS (SELECT i, b / sum(b) OVER () AS b, a / sum(a) OVER () AS a FROM g),
+    l AS (SELECT series_id, date, list(x) OVER (PARTITION BY series_id ORDER BY date ROWS 11 PRECEDING) AS xs FROM weekly WHERE x IS NOT NULL)
+    SELECT series_id, CAST(date AS VARCHAR) AS date, round(sum(b * xs[13 - i]) / pi(), 6) + 0.0 AS beta, round(sum(a * xs[13 - i]) / pi(), 6) + 0.0 AS almon FROM l, w WHERE len(xs) = 12 GROUP BY series_id, date""")
 def _(spark, d):
-    both = F.arrays_zip(scalars.beta_weights(12, 1.5, 3.0).alias("b"), scalars.almon_weights(12, 0.1, -0.02).alias("a"))
-    return spark.range(1).select(F.posexplode(both).alias("k", "v")).select((F.col("k") + 1).cast("int").alias("lag"), r("v.b", 8).alias("beta"), r("v.a", 8).alias("almon"))
+    """The two families of weights on each series' last twelve known values, the newest first."""
+    lags = R.last_k(weekly(spark, d).where("x is not null"), ["series_id"], "date", "x", 12).where("lags is not null")
+    return _text_date(lags.select("series_id", "date", *[r(scalars.weighted("lags", w) / F.pi()).alias(n) for n, w in (("beta", scalars.beta_weights(12, 1.5, 3.0)), ("almon", scalars.almon_weights(12, 0.1, -0.02)))]))
 
 
 @query("F07_hazard_link", "SELECT o_orderkey, round(1 - exp(-exp(greatest(least(-o_totalprice / 100000, 5), -30))), 8) + 0.0 AS h FROM orders")
@@ -512,19 +516,42 @@ def _(spark, d):
 # --- simulation -------------------------------------------------------------------------------------
 
 
-@query("G01_closed_form_fan", "SELECT CAST(h AS INTEGER) AS step, round(4.0 * exp((0.02 - 0.02) * h / 252 - 1.6448536269514722 * 0.2 * sqrt(h / 252.0)), 8) + 0.0 AS q05, round(4.0 * exp(0.0), 8) + 0.0 AS q50, round(4.0 * exp(1.6448536269514722 * 0.2 * sqrt(h / 252.0)), 8) + 0.0 AS q95 FROM unnest(range(1, 31)) AS r(h)")
+_MOTION = f"""{WEEKLY}, l AS (SELECT series_id, date, value, ln(value / lag(value) OVER w) AS g, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS k FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+    m AS (SELECT series_id, avg(g) * 52 + var_samp(g) * 52 / 2 AS mu, stddev_samp(g) * sqrt(52) AS sigma, max(CASE WHEN k = 1 THEN value END) AS start FROM l WHERE k <= 160 GROUP BY 1)"""
+
+
+def _motion(spark, d):
+    """``series_id, start, mu, sigma``: each weekly series' last value, and drift and volatility of its last 160 weeks."""
+    w = weekly(spark, d)
+    last = w.groupBy("series_id").agg(F.max_by("value", "date").alias("start"))
+    return simulate.drift_and_volatility(w, "series_id", "date", "value", 160, 52.0).join(last, "series_id")
+
+
+@query("G01_closed_form_fan", f"""WITH {_MOTION} SELECT series_id, CAST(h AS INTEGER) AS step, {", ".join(f"round(start * exp((mu - sigma ** 2 / 2) * h / 52.0 + {z} * sigma * sqrt(h / 52.0)) / pi(), 5) + 0.0 AS {q}" for q, z in (("q05", -1.6448536269514722), ("q50", 0.0), ("q95", 1.6448536269514722)))} FROM m, unnest(range(1, 31)) AS r(h)""")
 def _(spark, d):
-    return r_all(simulate.closed_form_fan(spark, 4.0, 0.02, 0.2, 30), 8)
+    fan = simulate.closed_form_fan(_motion(spark, d), "series_id", 30, 52.0)
+    return fan.select("series_id", "step", *[r(F.col(q) / F.pi(), 5).alias(q) for q in ("q05", "q50", "q95")])
 
 
 @query("G02_G03_paths")
 def _(spark, d):
-    return r_all(simulate.path_summary(simulate.heston_paths(spark, 4.0, 10000, 30, {"kappa": 4.0, "theta": 0.04, "xi": 0.3, "rho": -0.5, "v0": 0.04, "mu": 0.0}, 42)), 6)
+    """Ten thousand paths a series: variances fitted to its returns, carried to a stochastic variance around them."""
+    g = simulate.garch(weekly(spark, d).select("series_id", "date", W.pct_change("value", _by()).alias("ret")), "series_id", "date", "ret").join(_motion(spark, d), "series_id")
+    theta = F.col("long_run") ** 2 * 52
+    p = g.select("series_id", "start", F.lit(0.0).alias("mu"), theta.alias("v0"), theta.alias("theta"), (F.greatest(1 - F.col("alpha") - F.col("beta"), F.lit(1e-4)) * 52).alias("kappa"), (F.col("alpha") * F.sqrt(2 * theta) * F.sqrt(F.lit(52.0))).alias("xi"), F.lit(-0.3).alias("rho"))
+    return r_all(simulate.path_summary(simulate.heston_paths(p, "series_id", 10000, 30, 42, 52.0), "series_id"), 4)
 
 
 @query("G04_desk_metrics")
 def _(spark, d):
-    return r_all(simulate.desk_metrics(simulate.gbm_paths(spark, 4.0, 10000, 30, 0.0, 0.2, 42), 4.2, 0.95), 6)
+    return r_all(simulate.desk_metrics(simulate.gbm_paths(_motion(spark, d), "series_id", 10000, 30, 42, 52.0), "series_id", 1.05, 0.95), 4)
+
+
+@query("G06_dispersion")
+def _(spark, d):
+    """Paths of each series' motion, spread by a fifth and tilted a little each step."""
+    paths = C.dispersed(simulate.gbm_paths(_motion(spark, d), "series_id", 1000, 10, 7, 52.0), "series_id", "step", "value", 1.2, 0.001)
+    return r_all(simulate.path_summary(paths, "series_id"), 4)
 
 
 @query("T05_arima")

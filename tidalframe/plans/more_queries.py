@@ -83,10 +83,12 @@ def _(spark, d):
     return r_all(R.average_holding(p, "series_id", "date", "p"), 8)
 
 
-@query("F03_contract_dv01", "WITH c(i, tenor, y) AS (VALUES ('a', 2, 0.04), ('b', 5, 0.03), ('c', 10, NULL)), f AS (SELECT i, coalesce(y, 0.03) AS y, k, coalesce(y, 0.03) / 2 + CASE WHEN k = 2 * tenor THEN 1 ELSE 0 END AS flow FROM c, unnest(range(1, 2 * tenor + 1)) AS r(k)) SELECT i, round(100000 * sum(k / 2.0 * flow / (1 + y / 2) ** k) / (1 + any_value(y) / 2) * 1e-4, 6) + 0.0 AS dv01 FROM f GROUP BY i")
+@query("F03_contract_dv01", """WITH c AS (SELECT p_partkey, p_size AS tenor, p_retailprice AS face, coalesce(CASE WHEN p_partkey % 7 > 0 THEN 2 + p_partkey % 5 END, 3) / 100.0 AS y FROM part), f AS (SELECT *, y / 2 + CASE WHEN k = 2 * tenor THEN 1 ELSE 0 END AS flow FROM c, unnest(range(1, 2 * tenor + 1)) AS r(k))
+    SELECT p_partkey, round(any_value(face) * 100 * sum(k / 2.0 * flow / (1 + y / 2) ** k) / (1 + any_value(y) / 2) * 1e-4, 6) + 0.0 AS dv01 FROM f GROUP BY 1""")
 def _(spark, d):
-    c = spark.createDataFrame([("a", 2.0, 4.0), ("b", 5.0, 3.0), ("c", 10.0, None)], "i string, tenor double, y double")
-    return c.select("i", r(scalars.contract_dv01("tenor", "y", F.lit(100000.0))).alias("dv01"))
+    """Parts as contracts: size is the tenor, price the notional in hundreds, yields in percent with every seventh missing."""
+    y = F.when(F.col("p_partkey") % 7 > 0, 2 + F.col("p_partkey") % 5)
+    return table(spark, d, "part").select("p_partkey", r(scalars.contract_dv01("p_size", y, F.col("p_retailprice") * 100)).alias("dv01"))
 
 
 @query("F04_neutral_legs", "SELECT s_suppkey, round(-1000.0 * (s_suppkey % 7 + 1) / (s_suppkey % 3 + 2), 6) + 0.0 AS other FROM supplier")
@@ -100,10 +102,15 @@ def _(spark, d):
     return _text_date(positions(spark, d).select("date", "instrument", "category", r(F.try_divide(F.col("net"), F.col("open_interest") / 1e6), 4).alias("pct")))
 
 
-@query("F14_scenario_table", "WITH s(topic, bps, w) AS (VALUES ('a', 10.0, 0.5), ('b', -5.0, 0.3), ('c', 2.0, 0.05)) SELECT round(sum(bps * w) / sum(w), 8) + 0.0 AS bps FROM s")
+@query("F14_scenario_table", """WITH t AS (SELECT o_orderstatus AS scenario, o_orderpriority AS topic, avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS v, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS v FROM orders),
+    s AS (SELECT scenario, (t.v / a.v - 1) * 10000 AS bps, CASE WHEN topic <> '5-LOW' THEN n / sum(n) OVER (PARTITION BY scenario) ELSE 0.05 END AS w FROM t, a) SELECT scenario, round(sum(bps * w) / sum(w), 6) + 0.0 AS bps FROM s GROUP BY 1""")
 def _(spark, d):
-    s = spark.createDataFrame([("a", 10.0, 0.5), ("b", -5.0, 0.3), ("c", 2.0, None)], "topic string, bps double, w double").withColumn("w", F.coalesce("w", F.lit(0.05)))
-    return s.agg(r(F.sum(F.col("bps") * F.col("w")) / F.sum("w"), 8).alias("bps"))
+    """Each order status as a scenario of five topics: their price against the mean in basis points, weighted by their share, a missing weight being 0.05."""
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("scenario"), F.col("o_orderpriority").alias("topic"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    t = o.groupBy("scenario", "topic").agg(F.avg("c").alias("v"), F.count("*").alias("n")).join(F.broadcast(o.agg(F.avg("c").alias("a"))))
+    s = t.select("scenario", ((F.col("v") / F.col("a") - 1) * 10000).alias("bps"), F.when(F.col("topic") != "5-LOW", F.col("n") / F.sum("n").over(W.Window.partitionBy("scenario"))).alias("w"))
+    w = F.coalesce("w", F.lit(0.05))
+    return s.groupBy("scenario").agg(r(F.sum(F.col("bps") * w) / F.sum(w)).alias("bps"))
 
 
 @query("M16_lag_features", f"""WITH {WEEKLY}, k AS (SELECT series_id, date, list(x) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l FROM weekly WHERE x IS NOT NULL), f AS (SELECT * FROM k WHERE len(l) = 4)
@@ -224,10 +231,3 @@ def _(spark, d):
     w = _by()
     p = pair(spark, d).select("date", (F.lead("y", 4).over(w) > F.col("y")).cast("int").alias("up"), W.rolling_z("y", w, 26, 13).alias("a"), W.rolling_z("z", w, 26, 13).alias("b"))
     return _text_date(r_all(walk_forward_logit(p.where("up is not null"), "date", "up", ["a", "b"], 60, 4), 6))
-
-
-@query("G06_dispersion")
-def _(spark, d):
-    from ..operators import simulate
-
-    return r_all(simulate.path_summary(C.dispersed(simulate.gbm_paths(spark, 4.0, 1000, 10, 0.0, 0.2, 7), "step", "value", 1.2, 0.001)), 6)
