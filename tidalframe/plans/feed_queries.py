@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import windows as W
 from ..registry import query, r, r_all, table
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, polled, tables
 from ..streaming import feeds
 
 
@@ -104,3 +108,47 @@ def _(spark, d):
     b = feeds.run_once(b, f"{base}/out", f"{base}/ck")
     # On an irrational scale: means of cents tie when rounded.
     return r_all(b.withColumn("mean_root2", F.col("mean") * 2**0.5).drop("mean").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), 6)
+
+
+_TEXTS = r"""SELECT DISTINCT page_id, text FROM (SELECT page_id, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|a|span|title)\b[^>]*>(.*?)</', 1)), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages) WHERE length(text) BETWEEN 20 AND 500"""
+
+
+@query("Y08_lateral_texts", _TEXTS)
+def _(spark, d):
+    """Texts of pages by a table function, with LATERAL."""
+    tables.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("pages_of_y08")
+    return spark.sql("SELECT p.page_id, t.text FROM pages_of_y08 AS p, LATERAL page_texts(p.html) AS t")
+
+
+@query("Y08_table_texts", f"SELECT page_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM ({_TEXTS}) GROUP BY 1")
+def _(spark, d):
+    """The same by an Arrow table function of the whole table."""
+    tables.register(spark)
+    table(spark, d, "pages").createOrReplaceTempView("pages_of_y08")
+    rows = spark.sql("SELECT key AS page_id, text FROM page_texts_of(TABLE(SELECT page_id, html FROM pages_of_y08))")
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("X01_polled_feeds", "WITH e AS (SELECT event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY event_id) % 3 AS c, event_id FROM events) SELECT source, CASE WHEN c = 1 THEN 'spare' ELSE 'main' END AS endpoint, CAST(c AS INTEGER) AS cycle, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM e GROUP BY ALL")
+def _(spark, d):
+    """Events as polled feeds of a source each, in three cycles of which the second's first endpoint is dead: read by a stream in two runs."""
+    polled.register(spark)
+    base = shared_folder(spark)
+    w = W.by("event_type", "event_id")
+    e = table(spark, d, "events").select("event_type", "event_id", (F.row_number().over(w) % 3).alias("c"))
+    item = F.concat(F.lit("<item><title>"), F.col("event_id").cast("string"), F.lit("</title></item>"))
+    cycles = e.groupBy("event_type", "c").agg(F.array_join(F.collect_list(item), "").alias("body"))
+
+    def store(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for source, c, body in pdf.itertuples(index=False):
+                polled.store(base + "/feeds", source, f"{c:06d}", {"main.xml": "moved" if c == 1 else body, "spare.xml": body})
+            yield pdf[["event_type"]]
+
+    out = None
+    for part in ("c < 2", "c >= 2"):
+        cycles.where(part).mapInPandas(store, "event_type string").count()
+        stream = spark.readStream.format("polled_feeds").option("path", base + "/feeds").option("endpoints", "main,spare").load()
+        out = feeds.run_once(stream, f"{base}/out", f"{base}/ck")
+    return out.groupBy("source", F.regexp_replace("endpoint", "[.]xml$", "").alias("endpoint"), F.col("cycle").cast("int").alias("cycle")).agg(F.count("*").alias("n"), F.sum(F.col("headline").cast("long")).alias("total"))
