@@ -105,7 +105,9 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
 
     sums = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return sums.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "code", "rank")
+    # A limit on the window's own number is taken in each task before the rows of a language meet.
+    best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
+    return best.select("lang", "code", (F.col("rank") - 1).alias("rank"))
 
 
 class Model:
