@@ -178,6 +178,18 @@ def trend_filter(y: np.ndarray, obs: float, level: float, slope: float) -> tuple
     return lv, sl, like
 
 
+#: Variances of observation, level and slope as multiples of the series' own.
+PRESETS = {"responsive": (0.30, 0.02, 0.05), "smooth": (0.30, 0.02, 5e-4)}
+
+
+def preset_variances(df: DataFrame, key: str, x: str) -> DataFrame:
+    """``key, preset, obs, level, slope`` of each preset, from the population variance of each series' known values (1 where it is 0 or unknown)."""
+    v = df.groupBy(key).agg(F.var_pop(F.when(~F.isnan(x), F.col(x))).alias("_v"))
+    v = v.withColumn("_v", F.when(F.col("_v") > 0, F.col("_v")).otherwise(1.0))
+    rows = [F.struct(F.lit(n).alias("preset"), *[(F.col("_v") * m).alias(c) for c, m in zip(("obs", "level", "slope"), p, strict=True)]) for n, p in PRESETS.items()]
+    return v.select(key, F.inline(F.array(*rows)))
+
+
 def trend_variances(v: np.ndarray) -> tuple[float, float, float]:
     """Variances of observation, level and slope by maximum likelihood; gaps are NaN."""
     from .optimize import nelder_mead

@@ -206,7 +206,7 @@ def blend(versions: DataFrame, inp: Inputs, parts: list[str], window: int) -> Da
     return ranks.groupBy(inp.key, inp.date).agg((F.avg("_r") - 0.5).alias("value"))
 
 
-PARAMETERS = {"z": 156, "short": 52, "long": 156, "flow": 13, "halflife": 26, "band": (10.0, 48.0), "variances": (0.5, 0.05, 0.001), "rounds": 60}
+PARAMETERS = {"z": 156, "short": 52, "long": 156, "flow": 13, "halflife": 26, "band": (10.0, 48.0), "variances": folds.PRESETS["smooth"], "rounds": 60}
 BUILDERS: dict[str, Callable[[Inputs, dict], DataFrame]] = {"v0": _production, "v1": _kaiser, "v2": _cot, "v3": _ewma, "v4": _slope, "v5": _kalman, "v6": _roofing, "v7": _breadth, "v8": _surprise, "v10": _factor}
 #: What the ninth version blends.
 BLENDED = ["v6", "v7", "v8"]

@@ -105,6 +105,23 @@ def append_feed(stream: DataFrame, folder: str, checkpoint: str):
     return stream.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def inject(rows: DataFrame, folder: str) -> None:
+    """Put ``timestamp, chunk_index, text`` into a feed's folder as a producer does: JSON lines, appended."""
+    rows.select(F.to_json(F.struct("timestamp", "chunk_index", "text")).alias("value")).write.mode("append").text(folder)
+
+
+def with_callback(stream: DataFrame, callback, folder: str, checkpoint: str) -> DataFrame:
+    """What ``callback`` (a table to a table) makes of each micro-batch there is now, each batch stored once under its number."""
+    spark, out = stream.sparkSession, f"{folder}/batch="
+
+    def put(batch: DataFrame, k: int) -> None:
+        callback(batch).write.mode("overwrite").parquet(f"{out}{k}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}*")
+
+
 def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that is there now, as a table written by the stream."""
     spark = stream.sparkSession
