@@ -14,7 +14,8 @@ def labelled_sample(
 
     Returns texts, labels, and the share of 1 among all labels.
 
-    Rows without a label or an identifier are left out, a null text is empty.
+    Rows without a label or an identifier are left out, a null text is empty; of
+    documents that share an identifier the one of least text counts.
     The ids (bounded by ``2 * per_class``) are broadcast, so the documents are
     scanned and not shuffled; only the sampled texts reach the driver, whole.
     """
@@ -24,6 +25,7 @@ def labelled_sample(
     parts = [known.where(F.col("_label") == k).groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(order, "_id").limit(per_class) for k in (0, 1)]
     picked = parts[0].union(parts[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    table: pa.Table = rows.select("_id", "_text", "_label").toArrow()
+    # One text an id, whatever the number of its rows: no more than ``2 * per_class`` texts can reach the driver.
+    table: pa.Table = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).toArrow()
     found = sorted(zip(table["_id"].to_pylist(), table["_label"].to_pylist(), table["_text"].to_pylist(), strict=True), key=lambda r: (str(r[0]), r[1], r[2]))
     return [r[2] for r in found], [r[1] for r in found], float(share or 0.0)
