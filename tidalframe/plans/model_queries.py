@@ -314,10 +314,15 @@ def _(spark, d):
     return _text_date(linear.influence(pair(spark, d), "y", "z").select("date", r("leverage", 8).alias("leverage"), r("cooks", 8).alias("cooks")))
 
 
-@query("R06_curve_factors")
+@query("R06_curve_factors", """WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_totalprice / 1e5 AS y, (1 - exp(-0.6 * (o_orderkey % 6 + 1))) / (0.6 * (o_orderkey % 6 + 1)) AS s, exp(-0.6 * (o_orderkey % 6 + 1)) AS e FROM orders),
+    m AS (SELECT month, count(*) AS n, sum(s) AS s, sum(s - e) AS c, sum(s * s) AS ss, sum(s * (s - e)) AS sc, sum((s - e) ** 2) AS cc, sum(y) AS y, sum(s * y) AS sy, sum((s - e) * y) AS cy, sum(y * y) AS yy FROM o GROUP BY 1),
+    d AS (SELECT *, n * (ss * cc - sc * sc) - s * (s * cc - sc * c) + c * (s * sc - ss * c) AS det FROM m),
+    b AS (SELECT *, CASE WHEN n >= 3 AND abs(det) > 1e-12 THEN (y * (ss * cc - sc * sc) - s * (sy * cc - sc * cy) + c * (sy * sc - ss * cy)) / det END AS b0,
+        CASE WHEN n >= 3 AND abs(det) > 1e-12 THEN (n * (sy * cc - sc * cy) - y * (s * cc - sc * c) + c * (s * cy - sy * c)) / det END AS b1, CASE WHEN n >= 3 AND abs(det) > 1e-12 THEN (n * (ss * cy - sy * sc) - s * (s * cy - sy * c) + y * (s * sc - ss * c)) / det END AS b2 FROM d)
+    SELECT CAST(month AS VARCHAR) AS month, round(b0, 5) + 0.0 AS b0, round(b1, 5) + 0.0 AS b1, round(b2, 5) + 0.0 AS b2, round(sqrt(greatest(yy - b0 * y - b1 * sy - b2 * cy, 0) / n), 5) + 0.0 AS rmse FROM b""")
 def _(spark, d):
     s = table(spark, d, "orders").select(F.trunc(F.to_date("o_orderdate"), "MM").alias("month"), (F.col("o_orderkey") % 6 + 1).cast("double").alias("tenor"), (F.col("o_totalprice") / 1e5).alias("y"))
-    return _text_date(r_all(linear.curve_factors(s, "month", "tenor", "y", 0.6)), "month")
+    return _text_date(r_all(linear.curve_factors(s, "month", "tenor", "y", 0.6), 5), "month")
 
 
 @query("R07_R08_var", None)
