@@ -45,7 +45,9 @@ def _(spark, d):
     return files.keep_one(p, ["id"], [F.col("page_id")]).select("id", F.col("page_id").alias("first"))
 
 
-@query("S21_html_texts")
+@query("S21_html_texts", r"""WITH e AS (SELECT page_id, unnest(x) AS b, generate_subscripts(x, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li|a|span|title)\b[^>]*>(.*?)</', 1) AS x FROM pages)),
+    t AS (SELECT page_id, k, trim(regexp_replace(regexp_replace(b, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM e), d AS (SELECT page_id, text, min(k) AS k FROM t WHERE length(text) BETWEEN 20 AND 500 GROUP BY ALL)
+    SELECT page_id, CAST(count(text) AS INTEGER) AS n, md5(coalesce(string_agg(text, chr(10) ORDER BY k), '')) AS digest FROM pages LEFT JOIN d USING (page_id) GROUP BY page_id""")
 def _(spark, d):
     return files.html_texts(table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "\n")).alias("digest"))
 

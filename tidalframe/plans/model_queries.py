@@ -287,7 +287,21 @@ def _(spark, d):
     return r_all(frame(spark, [(fit["n"], fit["coef"][1], fit["se"][1])], "n long, slope double, se double"))
 
 
-@query("R02_granger")
+def _steps(first: str, response: str, columns: list[str]) -> str:
+    """SQL that takes columns (and the response) about their means and makes each orthogonal to those before it, in order: ``u1, u2...`` beside the response ``v``."""
+    parts = [f"o0 AS (SELECT {response} - avg({response}) OVER () AS v, {', '.join(f'{c} - avg({c}) OVER () AS {c}' for c in columns)} FROM {first})"]
+    for k, c in enumerate(columns):
+        rest = "".join(f", {x} - {c} * (sum({x} * {c}) OVER ()) / (sum({c} * {c}) OVER ()) AS {x}" for x in columns[k + 1 :])
+        done = "".join(f", u{j + 1}" for j in range(k))
+        parts.append(f"o{k + 1} AS (SELECT v{done}, {c} AS u{k + 1}{rest} FROM o{k})")
+    return ", ".join(parts)
+
+
+_GRANGER = f"""{PAIR}, l AS (SELECT y, lag(y) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(z) OVER w AS z1, lag(z, 2) OVER w AS z2 FROM pair WINDOW w AS (ORDER BY date)), c AS (SELECT * FROM l WHERE y1 IS NOT NULL AND y2 IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL), {_steps("c", "y", ["y1", "y2", "z1", "z2"])},
+    g AS (SELECT count(*) AS n, sum(v * v) AS vv, sum(v * u1) ** 2 / sum(u1 * u1) + sum(v * u2) ** 2 / sum(u2 * u2) AS own, sum(v * u3) ** 2 / sum(u3 * u3) + sum(v * u4) ** 2 / sum(u4 * u4) AS other FROM o4), f AS (SELECT n, other / 2 / ((vv - own - other) / (n - 5)) AS f FROM g)"""
+
+
+@query("R02_granger", f"WITH {_GRANGER} SELECT n, round(f, 6) + 0.0 AS f, round((1 + 2 * f / (n - 5)) ** (-(n - 5) / 2.0), 6) + 0.0 AS p FROM f")
 def _(spark, d):
     g = linear.granger(pair(spark, d), "series_id", "date", "y", "z", 2)
     return r_all(frame(spark, [(g["n"], g["f"], g["p"])], "n long, f double, p double"))
@@ -332,7 +346,9 @@ def _(spark, d):
     return r_all(frame(spark, [(a, b, share[i, j]) for i, a in enumerate(fit["columns"]) for j, b in enumerate(fit["columns"])], "response string, shock string, share double"))
 
 
-@query("R09_T04_unit_root")
+@query("R09_T04_unit_root", f"""WITH {PAIR}, d AS (SELECT date, spread, spread - lag(spread) OVER w AS d, lag(spread) OVER w AS b FROM pair WINDOW w AS (ORDER BY date)), l AS (SELECT d, b, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM d WINDOW w AS (ORDER BY date)), c AS (SELECT * FROM l WHERE d IS NOT NULL AND b IS NOT NULL AND d1 IS NOT NULL AND d2 IS NOT NULL), {_steps("c", "d", ["d1", "d2", "b"])},
+    g AS (SELECT count(*) AS n, sum(v * u3) AS p, sum(u3 * u3) AS q, sum(v * v) - sum(v * u1) ** 2 / sum(u1 * u1) - sum(v * u2) ** 2 / sum(u2 * u2) - sum(v * u3) ** 2 / sum(u3 * u3) AS ssr FROM o3)
+    SELECT n, round(p / q / sqrt(ssr / (n - 4) / q), 6) + 0.0 AS t, p / q / sqrt(ssr / (n - 4) / q) < -2.86 AS stationary FROM g""")
 def _(spark, d):
     t = linear.unit_root(pair(spark, d), "series_id", "date", "spread", 2)
     return r_all(frame(spark, [(t["n"], t["t"], t["stationary"])], "n long, t double, stationary boolean"))

@@ -168,9 +168,12 @@ def _(spark, d):
     return _text_date(r_all(C.decompose(m, "series_id", "date", "v")))
 
 
-@query("T16_structure")
+@query("T16_structure", f"""WITH {WEEKLY}, x AS (SELECT series_id, value - avg(value) OVER (PARTITION BY series_id) AS u, value, lag(value) OVER w AS b, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM weekly WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+    p AS (SELECT series_id, k, sum(u * cos(2 * pi() * k * i / n)) ** 2 + sum(u * sin(2 * pi() * k * i / n)) ** 2 AS p FROM x, unnest(range(1, (SELECT max(n) // 2 + 1 FROM x))) AS r(k) WHERE k <= n // 2 GROUP BY ALL), q AS (SELECT series_id, p / sum(p) OVER (PARTITION BY series_id) AS q FROM p),
+    e AS (SELECT series_id, -sum(q * ln(q)) / ln(count(*)) AS entropy FROM q WHERE q > 0 GROUP BY 1), r AS (SELECT series_id, count(*) AS n, corr(value, b) AS rho FROM x GROUP BY 1)
+    SELECT series_id, round(entropy, 6) + 0.0 AS entropy, round(n * (1 - rho) / (1 + rho), 5) + 0.0 AS n_effective FROM e JOIN r USING (series_id)""")
 def _(spark, d):
-    return r_all(C.structure(weekly(spark, d).select("series_id", "date", "value"), "series_id", "date", "value"))
+    return r_all(C.structure(weekly(spark, d).select("series_id", "date", "value"), "series_id", "date", "value"), 6, n_effective=5)
 
 
 @query("M13_surrogates")
