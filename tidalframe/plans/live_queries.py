@@ -13,7 +13,7 @@ from .model_queries import TREND
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@query("X10_live_filter", f"WITH RECURSIVE {TREND} SELECT series_id AS key, CAST(date AS VARCHAR) AS date, round(a, 6) + 0.0 AS level, round(b, 6) + 0.0 AS trend, round(surprise, 6) + 0.0 AS surprise FROM p JOIN v USING (series_id, i)")
+@query("X10_live_filter", f"WITH RECURSIVE {TREND} SELECT series_id AS key, CAST(date AS VARCHAR) AS date, round(a, 4) + 0.0 AS level, round(b, 4) + 0.0 AS trend, round(surprise, 4) + 0.0 AS surprise FROM p JOIN v USING (series_id, i)")
 def _(spark, d):
     """The weekly series as two files, the second for a second run of the stream, which goes on where the first stopped."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -25,4 +25,4 @@ def _(spark, d):
         rows.where(part).coalesce(1).write.mode("append").parquet(f"{base}/rows")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/rows")
         out = feeds.run_once(live_filter.live(stream, live_filter.frozen(spark, f"{base}/frozen")), f"{base}/out", f"{base}/ck")
-    return r_all(out.select("key", F.date_format("ts", "yyyy-MM-dd").alias("date"), "level", "trend", "surprise"))
+    return r_all(out.select("key", F.date_format("ts", "yyyy-MM-dd").alias("date"), "level", "trend", "surprise"), 4)

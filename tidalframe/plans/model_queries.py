@@ -189,10 +189,11 @@ TREND = f"""{WEEKLY}, v AS (SELECT series_id, date, value / 1e5 AS x, row_number
         FROM (SELECT *, q00 / (q00 + 0.05) AS g0, q01 / (q00 + 0.05) AS g1, x - a AS gap FROM (SELECT v.series_id, v.i, v.x, p.a + p.b AS a, p.b, p.p00 + 2 * p.p01 + p.p11 + 0.01 AS q00, p.p01 + p.p11 AS q01, p.p11 + 0.0001 AS q11 FROM p JOIN v ON v.series_id = p.series_id AND v.i = p.i + 1)))"""
 
 
-@query("R13_local_linear_trend", f"WITH RECURSIVE {TREND} SELECT series_id, CAST(date AS VARCHAR) AS date, round(x, 6) + 0.0 AS v, round(a, 6) + 0.0 AS level, round(b, 6) + 0.0 AS trend FROM p JOIN v USING (series_id, i)")
+@query("R13_local_linear_trend", f"WITH RECURSIVE {TREND} SELECT series_id, CAST(date AS VARCHAR) AS date, round(x / pi(), 4) + 0.0 AS v, round(a, 4) + 0.0 AS level, round(b, 4) + 0.0 AS trend FROM p JOIN v USING (series_id, i)")
 def _(spark, d):
     w = weekly(spark, d).select("series_id", "date", (F.col("value") / 1e5).alias("v"))
-    return _text_date(r_all(folds.local_linear_trend(w, "series_id", "date", "v", (0.05, 0.01, 0.0001)), 6))
+    out = folds.local_linear_trend(w, "series_id", "date", "v", (0.05, 0.01, 0.0001))
+    return _text_date(r_all(out.withColumn("v", F.col("v") / F.pi()), 4))
 
 
 @query("R14_R15_cycle_filters", f"""WITH RECURSIVE {WEEKLY}, c AS (SELECT exp(-1.414 * pi() / 10) AS a, cos(1.414 * pi() / 10) AS ca, (cos(0.707 * 2 * pi() / 48) + sin(0.707 * 2 * pi() / 48) - 1) / cos(0.707 * 2 * pi() / 48) AS al),
@@ -548,10 +549,10 @@ def _motion(spark, d):
     return simulate.drift_and_volatility(w, "series_id", "date", "value", 160, 52.0).join(last, "series_id")
 
 
-@query("G01_closed_form_fan", f"""WITH {_MOTION} SELECT series_id, CAST(h AS INTEGER) AS step, {", ".join(f"round(start * exp((mu - sigma ** 2 / 2) * h / 52.0 + {z} * sigma * sqrt(h / 52.0)) / pi(), 5) + 0.0 AS {q}" for q, z in (("q05", -1.6448536269514722), ("q50", 0.0), ("q95", 1.6448536269514722)))} FROM m, unnest(range(1, 31)) AS r(h)""")
+@query("G01_closed_form_fan", f"""WITH {_MOTION} SELECT series_id, CAST(h AS INTEGER) AS step, {", ".join(f"round(ln(start * exp((mu - sigma ** 2 / 2) * h / 52.0 + {z} * sigma * sqrt(h / 52.0))), 6) + 0.0 AS ln_{q}" for q, z in (("q05", -1.6448536269514722), ("q50", 0.0), ("q95", 1.6448536269514722)))} FROM m, unnest(range(1, 31)) AS r(h)""")
 def _(spark, d):
     fan = simulate.closed_form_fan(_motion(spark, d), "series_id", 30, 52.0)
-    return fan.select("series_id", "step", *[r(F.col(q) / F.pi(), 5).alias(q) for q in ("q05", "q50", "q95")])
+    return fan.select("series_id", "step", *[r(F.log(q)).alias(f"ln_{q}") for q in ("q05", "q50", "q95")])
 
 
 @query("G02_G03_paths")

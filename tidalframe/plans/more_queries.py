@@ -185,11 +185,11 @@ def _(spark, d):
     d AS (SELECT series_id, date, v, i, n, v - a - (z - a) * i / (n - 1) AS u FROM x), k AS (SELECT j, CASE WHEN j = 0 THEN (pi() / 4 - pi() / 26) / pi() ELSE (sin(j * pi() / 4) - sin(j * pi() / 26)) / (pi() * j) END AS b FROM (SELECT unnest(range(0, (SELECT max(n) FROM x))) AS j)),
     c AS (SELECT j, b, sum(CASE WHEN j > 0 THEN b ELSE 0 END) OVER (ORDER BY j) AS upto FROM k),
     s AS (SELECT t.series_id, t.date, any_value(t.v) AS v, sum(CASE WHEN s.i = t.i THEN c.b * s.u WHEN s.i > 0 AND s.i < s.n - 1 THEN c.b * s.u ELSE (-(SELECT b FROM c WHERE j = 0) / 2 - (c.upto - c.b)) * s.u END) AS cycle FROM d AS t JOIN d AS s USING (series_id) JOIN c ON c.j = abs(s.i - t.i) GROUP BY ALL)
-    SELECT series_id, CAST(date AS VARCHAR) AS date, round(v, 6) + 0.0 AS v, round(cycle, 6) + 0.0 AS cycle FROM s""")
+    SELECT series_id, CAST(date AS VARCHAR) AS date, round(v / pi(), 6) + 0.0 AS v, round(cycle, 6) + 0.0 AS cycle FROM s""")
 def _(spark, d):
     w = weekly(spark, d).select("series_id", "date", (F.col("value") / 1e5).alias("v"))
     f = folds.grouped(w, "series_id", "date", {"cycle": "double"}, lambda p: p.assign(cycle=C.band_pass(p["v"].to_numpy(float), 8, 52)))
-    return _text_date(r_all(f))
+    return _text_date(r_all(f.withColumn("v", F.col("v") / F.pi())))
 
 
 @query("A23_seasonal_rank", f"WITH {MONTHLY}, g AS (SELECT series_id, CAST(month(month) AS INTEGER) AS m, avg(value) AS mean FROM monthly GROUP BY ALL) SELECT series_id, m, round(mean, 4) + 0.0 AS mean, CAST(row_number() OVER (PARTITION BY series_id ORDER BY mean DESC, m) AS INTEGER) AS place FROM g")
