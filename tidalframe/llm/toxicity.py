@@ -148,7 +148,10 @@ def fit(
     docs = [np.asarray([vocabulary.setdefault(w, len(vocabulary)) for w in _WORDS(t.lower())], np.int64) for t in texts]
     ranges = [passages_of(len(d), passage) for d in docs]
     y = np.asarray(labels, np.float64)
-    gram, size = grams_of(list(vocabulary), buckets) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # Some thousand words at a time: the arrays of all at once are most of what a fit holds.
+    known, parts = list(vocabulary), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    parts += [grams_of(known[k : k + 4000], buckets) for k in range(0, len(known), 4000)]
+    gram, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     start = np.cumsum(size) - size
     emb, soft, bias = rng.standard_normal((buckets, dim)) * 0.05, rng.standard_normal((dim, 2)) * 0.5, np.zeros(2)
     emb_sum, soft_sum, bias_sum = np.full(buckets, 1e-6), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
