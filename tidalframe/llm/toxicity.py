@@ -101,12 +101,12 @@ class Model:
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         split = [_WORDS((t or "").lower()) for t in texts]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
         new = sorted({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 4000):
+            part = new[k : k + 4000]
             rows, size = grams_of(part, len(self.weights))
             known.update(zip(part, (np.add.reduceat(self.weights[rows], np.cumsum(size) - size) / size).tolist(), strict=True))
         out = np.zeros(len(texts))
