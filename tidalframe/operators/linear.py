@@ -1,7 +1,9 @@
 """Linear models whose data part is one pass of sums.
 
 A design of k columns becomes its k x k Gram matrix by a partial aggregate;
-only that matrix reaches the driver, where numpy solves it. Iterative fits
+only that matrix reaches the driver, where numpy solves it. Least squares with
+a constant takes covariances in place of sums of products, which lose digits
+where means are large beside deviations. Iterative fits
 (robust, quantile, generalised linear) repeat the pass with new weights, which
 are expressions of the current coefficients.
 """
@@ -31,6 +33,25 @@ def gram(df: DataFrame, cols: list[Column], weight: Column | None = None) -> tup
     return row["n"], out
 
 
+def centred(df: DataFrame, cols: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means, and sums of products of deviations from the means; rows with a null are left out. One pass, merged without raw sums."""
+    names = [f"_g{k}" for k in range(len(cols))]
+    d = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names, strict=True)]).dropna()
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    row = d.agg(F.count("*").alias("n"), *[F.avg(n).alias(f"m{k}") for k, n in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row["n"] * (row[f"s{i}_{j}"] or 0.0)
+    return row["n"], np.array([row[f"m{k}"] or 0.0 for k in range(len(cols))]), out
+
+
+def scaled_inverse(a: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a symmetric matrix, its columns brought to one scale first."""
+    size = np.sqrt(np.abs(np.diag(a)))
+    size = np.where(size > 0, size, 1.0)
+    return np.linalg.pinv(a / np.outer(size, size), hermitian=True) / np.outer(size, size)
+
+
 def design(xs: list[str], intercept: bool = True) -> list[Column]:
     return ([F.lit(1.0)] if intercept else []) + [F.col(x) for x in xs]
 
@@ -44,7 +65,23 @@ def predict(coef, xs: list[str], intercept: bool = True) -> Column:
 
 def ols(df: DataFrame, y: str, xs: list[str], *, intercept: bool = True, ridge: float = 0.0) -> dict:
     """Coefficients, standard errors, t, p, R2, residual variance and the Gram inverse."""
-    return ols_of(*gram(df, [*design(xs, intercept), F.col(y)]), intercept=intercept, ridge=ridge)
+    if not intercept:
+        return ols_of(*gram(df, [*design(xs, False), F.col(y)]), intercept=False, ridge=ridge)
+    return ols_centred(*centred(df, [F.col(c) for c in (*xs, y)]), ridge=ridge)
+
+
+def ols_centred(n: int, mean: np.ndarray, s: np.ndarray, *, ridge: float = 0.0) -> dict:
+    """The same, with a constant (not penalised), from means and sums of products of deviations of the regressors and, last, the response."""
+    a, b, yy, m = s[:-1, :-1], s[:-1, -1], float(s[-1, -1]), mean[:-1]
+    part = scaled_inverse(a + ridge * np.eye(len(b)))
+    slope = part @ b
+    ssr = max(0.0, float(yy - 2 * slope @ b + slope @ a @ slope))
+    # From coefficients about the means to those of the plain design.
+    turn = np.eye(len(b) + 1)
+    turn[0, 1:] = -m
+    middle = np.zeros_like(turn)
+    middle[0, 0], middle[1:, 1:] = 1 / max(n, 1), part
+    return _fit(n, np.concatenate([[mean[-1] - m @ slope], slope]), turn @ middle @ turn.T, ssr, yy) | {"middle": middle, "turn": turn, "mean": mean}
 
 
 def ols_of(n: int, g: np.ndarray, *, intercept: bool = True, ridge: float = 0.0) -> dict:
@@ -56,8 +93,11 @@ def ols_of(n: int, g: np.ndarray, *, intercept: bool = True, ridge: float = 0.0)
     inverse = np.linalg.pinv(a + penalty)
     coef = inverse @ b
     ssr = max(0.0, float(yy - 2 * coef @ b + coef @ a @ coef))
-    dof = max(1, n - len(b))
-    total = yy - g[0, -1] ** 2 / n if intercept and n else yy
+    return _fit(n, coef, inverse, ssr, yy - g[0, -1] ** 2 / n if intercept and n else yy)
+
+
+def _fit(n: int, coef: np.ndarray, inverse: np.ndarray, ssr: float, total: float) -> dict:
+    dof = max(1, n - len(coef))
     se = np.sqrt(np.maximum(np.diag(inverse) * ssr / dof, 0))
     t = np.divide(coef, se, out=np.zeros_like(coef), where=se > 0)
     return {"n": n, "coef": coef, "se": se, "t": t, "p": np.array([O.t_sf(float(v), dof) for v in t]), "r2": 1 - ssr / total if total else math.nan, "ssr": ssr, "dof": dof, "inverse": inverse}
@@ -68,7 +108,8 @@ def newey_west(df: DataFrame, key: str, order: str, y: str, xs: list[str], lags:
     fit = ols(df, y, xs)
     k, w = len(xs) + 1, W.by(key, order)
     d = df.select(key, order, y, *xs).dropna()
-    score = [c * (F.col(y) - predict(fit["coef"], xs)) for c in design(xs)]
+    about = [F.lit(1.0), *[F.col(x) - float(m) for x, m in zip(xs, fit["mean"], strict=False)]]
+    score = [c * (F.col(y) - predict(fit["coef"], xs)) for c in about]
     d = d.select(key, order, *[s.alias(f"u{i}") for i, s in enumerate(score)])
     d = d.select(*[f"u{i}" for i in range(k)], *[F.lag(f"u{i}", h).over(w).alias(f"u{i}_{h}") for h in range(1, lags + 1) for i in range(k)])
     row = d.agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}" if h == 0 else f"u{j}_{h}")).alias(f"s{h}_{i}_{j}") for h in range(lags + 1) for i in range(k) for j in range(k)]).first()
@@ -76,7 +117,8 @@ def newey_west(df: DataFrame, key: str, order: str, y: str, xs: list[str], lags:
     for h in range(lags + 1):
         s = np.array([[row[f"s{h}_{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
         meat += s if h == 0 else (1 - h / (lags + 1)) * (s + s.T)
-    cov = fit["inverse"] @ meat @ fit["inverse"]
+    to = fit["turn"] @ fit["middle"]
+    cov = to @ meat @ to.T
     se = np.sqrt(np.maximum(np.diag(cov), 0))
     t = fit["coef"] / np.where(se > 0, se, np.nan)
     return fit | {"se": se, "t": t, "p": np.array([2 * (1 - O.normal_cdf(abs(v))) for v in t])}
@@ -286,12 +328,13 @@ def var_fit(df: DataFrame, key: str, order: str, cols: list[str], lags: int) ->
     lagged = [F.lag(c, h).over(w).alias(f"{c}__{h}") for h in range(1, lags + 1) for c in cols]
     d = df.select(*cols, *lagged)
     xs = [f"{c}__{h}" for h in range(1, lags + 1) for c in cols]
-    n, g = gram(d, [*design(xs), *[F.col(c) for c in cols]])
+    n, mean, s = centred(d, [F.col(c) for c in (*xs, *cols)])
     p, k = 1 + len(xs), len(cols)
-    a, b, yy = g[:p, :p], g[:p, p:], g[p:, p:]
-    inverse = np.linalg.pinv(a)
-    coef = inverse @ b
-    resid = yy - coef.T @ b - b.T @ coef + coef.T @ a @ coef
+    a, b, yy = s[: p - 1, : p - 1], s[: p - 1, p - 1 :], s[p - 1 :, p - 1 :]
+    fits = [ols_centred(n, np.append(mean[: p - 1], mean[p - 1 + j]), np.block([[a, b[:, [j]]], [b[:, j], yy[j, j]]])) for j in range(k)]
+    coef, inverse = np.column_stack([f["coef"] for f in fits]), fits[0]["inverse"]
+    slope = coef[1:]
+    resid = yy - slope.T @ b - b.T @ slope + slope.T @ a @ slope
     ml = resid / n
     logdet, free = float(np.linalg.slogdet(ml)[1]), p * k
     return {
