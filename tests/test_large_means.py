@@ -38,3 +38,15 @@ def test_betas(table, prices):
     assert np.allclose(fit["coef"], [y.mean() - b[0] * z.mean(), b[0]], rtol=1e-10, atol=0)
     assert np.isclose(fit["ssr"], e @ e, rtol=1e-11) and np.isclose(fit["r2"], 1 - e @ e / ((y - y.mean()) ** 2).sum(), rtol=1e-9, atol=0)
     assert np.isclose(fit["se"][1], np.sqrt(e @ e / 342 / ((z - z.mean()) ** 2).sum()), rtol=1e-10)
+
+
+def test_robust_errors(table, prices):
+    z, y = prices
+    b, e, x = solved(y, z)
+    u = np.column_stack([np.ones(344), x]) * e[:, None]
+    meat = sum((1 - h / 6) * ((s := u[h:].T @ u[: 344 - h]) + s.T) / (2 if h == 0 else 1) for h in range(6))
+    fit = linear.newey_west(table, "k", "d", "y", ["z"], 5)
+    var = (x[:, 0] ** 2).sum()
+    se = np.sqrt(meat[1, 1]) / var
+    level = np.array([1 / 344, -z.mean() / var])
+    assert np.allclose(fit["se"], [np.sqrt(level @ meat @ level), se], rtol=1e-10, atol=0) and np.isclose(fit["coef"][1], b[0], rtol=1e-10)
