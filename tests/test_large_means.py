@@ -50,3 +50,12 @@ def test_robust_errors(table, prices):
     se = np.sqrt(meat[1, 1]) / var
     level = np.array([1 / 344, -z.mean() / var])
     assert np.allclose(fit["se"], [np.sqrt(level @ meat @ level), se], rtol=1e-10, atol=0) and np.isclose(fit["coef"][1], b[0], rtol=1e-10)
+
+
+def test_granger(table, prices):
+    z, y = prices
+    own, other = (y[1:-1], y[:-2]), (z[1:-1], z[:-2])
+    short, full = (solved(y[2:], *xs)[1] for xs in (own, own + other))
+    want = (short @ short - full @ full) / 2 / (full @ full / (342 - 5))
+    got = linear.granger(table, "k", "d", "y", "z", 2)
+    assert got["n"] == 342 and np.isclose(got["f"], want, rtol=1e-9, atol=0)
