@@ -59,3 +59,12 @@ def test_granger(table, prices):
     want = (short @ short - full @ full) / 2 / (full @ full / (342 - 5))
     got = linear.granger(table, "k", "d", "y", "z", 2)
     assert got["n"] == 342 and np.isclose(got["f"], want, rtol=1e-9, atol=0)
+
+
+def test_influence(table, prices):
+    z, y = prices
+    _, e, x = solved(y, z)
+    h = 1 / 344 + x[:, 0] ** 2 / (x[:, 0] ** 2).sum()
+    cooks = e * e / (2 * (e @ e / 342)) * h / (1 - h) ** 2
+    got = linear.influence(table, "y", "z").orderBy("d").select("leverage", "cooks").collect()
+    assert np.allclose(np.array(got), np.column_stack([h, cooks]), rtol=1e-8, atol=1e-11)
