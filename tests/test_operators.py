@@ -65,6 +65,24 @@ def test_panel_of_weeks(spark):
     assert p[52].issues_trailing_52w == 3 and p[53].issues_trailing_52w == 1
 
 
+def test_panel_makes_the_grid_after_the_last_shuffle(spark):
+    rng = np.random.default_rng(8)
+    ev = [("a", 3, 0), ("a", 9, 2), ("b", 50, 1), ("c", 8, 1), *[("d", int(w), int(k)) for w, k in zip(rng.integers(0, 200, 25), rng.integers(0, 3, 25), strict=True)]]
+    events = spark.createDataFrame(ev, "issuer string, wk int, n int")
+    for last, cap, trailing in ((None, 260, 52), (40, 12, 5)):
+        want = set()
+        for key in "abcd":
+            seen = [(w, n) for i, w, n in ev if i == key]
+            for w in range(min(w for w, _ in seen) + 1, (max(w for _, w, _ in ev) if last is None else last) + 1):
+                before = [v for v, n in seen if n and v < w]
+                want.add((key, w, min([cap, *(w - v for v in before)]), sum(n for v, n in seen if w - trailing <= v < w), int(any(v == w and n for v, n in seen))))
+        panel = survival.build_panel(events, "issuer", "wk", "n", last, cap, trailing)
+        got = [tuple(r) for r in panel.collect()]
+        assert len(got) == len(want) and set(got) == want
+        plan = panel._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode(sequence") < plan.index("Window")
+
+
 def test_grid_query_holds_every_issuer(spark, tmp_path):
     day, end = dt.date(1995, 1, 3), dt.date(1995, 1, 3) + dt.timedelta(weeks=70)
     orders = [(k, day + dt.timedelta(weeks=w)) for k in range(1, 13) for w in (k % 4, k % 4, 20 + k, 60)] + [(3, end)]

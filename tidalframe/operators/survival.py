@@ -11,21 +11,33 @@ from ..functions import windows as W
 def build_panel(events: DataFrame, key: str, week: str, n: str, last: int | None = None, cap: int = 260, trailing: int = 52) -> DataFrame:
     """At-risk rows of every key, from the week after its first event to the ``last`` week.
 
-    One shuffle by key: the grid is generated in place and both features are
-    windows over it, not range joins. ``y``, ``weeks_since_last`` (at most
-    ``cap``) and the events of the ``trailing`` weeks before.
+    All columns are constant between a few weeks of a key: those of its events,
+    the weeks after them and those where events leave the ``trailing`` weeks.
+    Only these are shuffled, once by key, and windowed; the weeks between are
+    made in place at the end, so no shuffle or sort holds the grid. ``y``,
+    ``weeks_since_last`` (at most ``cap``) and the events of the ``trailing`` weeks before.
     """
-    end = events.agg(F.max(week).alias("_b")) if last is None else None
-    span = events.groupBy(key).agg(F.min(week).alias("_a"))
-    span = span.join(F.broadcast(end)) if last is None else span.withColumn("_b", F.lit(last))
-    grid = span.select(key, F.explode(F.sequence("_a", "_b")).alias(week), "_a")
-    counted = events.groupBy(key, week).agg(F.sum(n).alias("_n"))
-    g = grid.join(counted, [key, week], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    w = W.by(key, week)
-    before = F.max(F.when(F.col("_n") > 0, F.col(week))).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    trail = F.coalesce(F.sum("_n").over(w.rangeBetween(-trailing, -1)), F.lit(0))
-    out = g.withColumn("weeks_since_last", F.least(F.col(week) - before, F.lit(cap))).withColumn(f"issues_trailing_{trailing}w", trail)
-    return out.where(F.col(week) > F.col("_a")).withColumn("y", (F.col("_n") > 0).cast("int")).drop("_a", "_n")
+    n_ = F.when(F.col(key).isNotNull(), F.col("_n")).otherwise(0)
+    none = F.lit(None).cast(events.schema[week].dataType)
+
+    def step(at: int, change: Column, event: Column, y: Column) -> Column:
+        return F.struct((F.col(week) + at).alias("_p"), change.alias("_d"), event.alias("_e"), y.alias("_y"))
+
+    counted = events.where(F.col(week).isNotNull()).groupBy(key, week).agg(F.coalesce(F.sum(n), F.lit(0)).alias("_n")).repartition(key)
+    steps = F.array(
+        step(0, F.lit(0) * n_, none, (n_ > 0).cast("int")),
+        step(1, n_, F.when(n_ > 0, F.col(week)), F.lit(0)),
+        step(trailing + 1, -n_, none, F.lit(0)),
+    )
+    points = counted.select(key, F.explode(steps).alias("_s")).groupBy(key, F.col("_s._p").alias("_p")).agg(F.sum("_s._d").alias("_d"), F.max("_s._e").alias("_e"), F.max("_s._y").alias("y"))
+    w = W.by(key, "_p")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    spans = points.select(key, "_p", "y", F.sum("_d").over(so_far).alias("_t"), F.max("_e").over(so_far).alias("_e"), F.lead("_p").over(w).alias("_next"), F.row_number().over(w).alias("_k"))
+    spans = spans.join(F.broadcast(events.agg(F.max(week).alias("_b")))) if last is None else spans.withColumn("_b", F.lit(last))
+    # The first point is the first event's week, which is not at risk.
+    spans = spans.withColumn("_to", F.least(F.col("_next") - 1, F.col("_b"))).where((F.col("_k") > 1) & (F.col("_p") <= F.col("_to")))
+    out = spans.select(key, F.explode(F.sequence("_p", "_to")).alias(week), "_e", "_t", "y")
+    return out.select(key, week, F.least(F.col(week) - F.col("_e"), F.lit(cap)).alias("weeks_since_last"), F.col("_t").alias(f"issues_trailing_{trailing}w"), "y")
 
 
 def survival(df: DataFrame, key: str, step: str, hazard: str) -> DataFrame:
