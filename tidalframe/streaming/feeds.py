@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,28 @@ def sessions(events: DataFrame, gap: str, delay: str = "10 minutes") -> DataFram
     return g.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
+#: Rows that a processor hands on at a time.
+_HANDED = 50_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame], x: str, keep) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a key's rows of a batch in order of both, unknown times last.
+
+    Held as two plain columns, 16 bytes a row, whatever the frames carry.
+    """
+    parts = []
+    for f in rows:
+        ts, v = f["ts"].to_numpy(), f[x].to_numpy(float)
+        at = keep(ts, v)
+        parts.append((ts[at], v[at]))
+    if not parts:
+        return np.empty(0, "M8[ns]"), np.empty(0)
+    ts, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((v, np.where(np.isnat(ts), np.iinfo(np.int64).max, ts.view(np.int64))))
+    return ts[order], v[order]
+
+
 class TickState(StatefulProcessor):
     """Previous price and change (times 100) of each source, in event order within each batch."""
 
@@ -57,15 +80,15 @@ class TickState(StatefulProcessor):
         self.last = handle.getValueState("last", "price double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, out = self.last.get()[0] if self.last.exists() else None, []
-        for ts, price in pd.concat(rows).sort_values(["ts", "price"], kind="stable")[["ts", "price"]].itertuples(index=False):
-            if price is None or not price > 0:
-                continue
-            out.append((key[0], ts, price, last, None if last is None else (price - last) * 100))
-            last = float(price)
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["source", "ts", "price", "previous", "change"])
+        last = self.last.get()[0] if self.last.exists() else np.nan
+        ts, price = _in_order(rows, "price", lambda ts, v: v > 0)
+        if len(price):
+            self.last.update((float(price[-1]),))
+        for k in range(0, len(price), _HANDED):
+            now = price[k : k + _HANDED]
+            previous = np.concatenate([[last], now[:-1]])
+            last = now[-1]
+            yield pd.DataFrame({"source": key[0], "ts": ts[k : k + _HANDED], "price": now, "previous": previous, "change": (now - previous) * 100})
 
     def close(self) -> None:
         pass
@@ -85,12 +108,15 @@ class BarometerState(StatefulProcessor):
         b = Barometer()
         if self.state.exists():
             b.n, b.total, b.up, b.down = self.state.get()
-        out = []
-        for ts, x in pd.concat(rows)[["ts", "x"]].dropna().sort_values(["ts", "x"], kind="stable").itertuples(index=False):
-            alert = b.update(float(x))
-            out.append((key[0], ts, float(x), b.mean, b.var**0.5, alert))
+        ts, x = _in_order(rows, "x", lambda ts, v: ~np.isnan(v) & ~np.isnat(ts))
+        for k in range(0, len(x), _HANDED):
+            now = x[k : k + _HANDED]
+            mean, sd, alert = np.empty(len(now)), np.empty(len(now)), np.empty(len(now), np.int32)
+            for i, v in enumerate(now.tolist()):
+                alert[i] = b.update(v)
+                mean[i], sd[i] = b.mean, b.var**0.5
+            yield pd.DataFrame({"meeting": key[0], "ts": ts[k : k + _HANDED], "x": now, "mean": mean, "sd": sd, "alert": alert})
         self.state.update((b.n, b.total, b.up, b.down))
-        yield pd.DataFrame(out, columns=["meeting", "ts", "x", "mean", "sd", "alert"])
 
     def close(self) -> None:
         pass
