@@ -336,7 +336,7 @@ class Barometer:
 
     @property
     def mean(self) -> float:
-        return (self.prior / self.prior_var + self.total / self.noise) * self.var
+        return (self.prior / self.prior_var + self.total / self.noise) / (1 / self.prior_var + self.n / self.noise)
 
     def update(self, x: float) -> int:
         """The alert: +1, -1 or 0. The observation moves the mean first, then the chart; only the side that alerts is reset."""

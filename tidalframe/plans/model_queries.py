@@ -230,7 +230,9 @@ def _(spark, d):
     SELECT k.conv_id, turn, round(x, 8) + 0.0 AS x, round(m, 8) + 0.0 AS mean, round(sqrt(v), 8) + 0.0 AS sd, round(greatest(0, m - 1.96 * sqrt(v)), 8) + 0.0 AS low, round(least(100, m + 1.96 * sqrt(v)), 8) + 0.0 AS high, alert FROM s JOIN k ON k.conv_id = s.conv_id AND k.i = s.i""")
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", scalars.barometer(scalars.word_score("text", LEXICON)).alias("x"))
-    return r_all(folds.barometer_history(c, "conv_id", "turn", "x"), 8)
+    h = folds.barometer_history(c, "conv_id", "turn", "x")
+    # Means of a few observations may lie half-way between two reported values; they are scaled and rounded as SQL does it.
+    return h.select(*[(F.round(F.col(k) * 1e8) / 1e8 + F.lit(0.0)).alias(k) if t == "double" else F.col(k) for k, t in h.dtypes])
 
 
 @query("R20_R21_spliced_returns", f"""WITH {WEEKLY}, f AS (SELECT series_id, date, value / 1000 AS n1, value / 1000 * 1.05 AS n2, CAST(floor(date_diff('day', DATE '1990-01-05', date) / 91.0) AS INTEGER) AS contract FROM weekly),
