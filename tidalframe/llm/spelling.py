@@ -15,6 +15,10 @@ along the chain of forms.
   most ``(k + 1) * alphabet`` distinct words. Repeated words are counted before
   anything is shuffled.
 
+* Words, pairs and roots grow with the corpus, so they are joined by sorting
+  (``merge``): a compressed table below Spark's broadcast bound is many times
+  larger in the driver that would build it.
+
 Cases: null, empty and letterless texts give no words; repeated rows count
 again; an empty table gives no rows; ties of forms go to the word that is first
 in code-point order; words may be of any length; other columns are ignored.
@@ -126,8 +130,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # A word and another's deletion: one letter more. Two deletions: the same letter's place, if the runs overlap.
     one_more = F.col("a.own") & ~F.col("b.own")
     replaced = ~F.col("a.own") & ~F.col("b.own") & (F.col("a.id") < F.col("b.id")) & (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last"))
-    shared = a.join(b, (F.col("a.key") == F.col("b.key")) & (one_more | replaced)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    named = shared.join(words.select(F.col("id").alias("a"), F.col("word").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("wb")), "b")
+    shared = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (one_more | replaced)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    named = shared.join(words.select(F.col("id").alias("a"), F.col("word").alias("wa")).hint("merge"), "a").join(words.select(F.col("id").alias("b"), F.col("word").alias("wb")).hint("merge"), "b")
     return named.where(F.levenshtein("wa", "wb", 1) == 1).select("a", "b")
 
 
@@ -143,9 +147,9 @@ def spelling_forms(counts: DataFrame, *, ratio: int = 10) -> DataFrame:
     words = cut(counts.where("word is not null").select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     pairs = cut(near_pairs(words), "near-pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("id", "near")
-    near = both.join(words.select(F.col("id").alias("near"), F.col("word").alias("form"), F.col("n").alias("form_n")), "near")
+    near = both.join(words.select(F.col("id").alias("near"), F.col("word").alias("form"), F.col("n").alias("form_n")).hint("merge"), "near")
     best = near.groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form", "near")).alias("best"))
-    found = words.join(best, "id", "left").withColumn("has", -F.col("best.less") >= ratio * F.col("n"))
+    found = words.join(best.hint("merge"), "id", "left").withColumn("has", -F.col("best.less") >= ratio * F.col("n"))
     held = cut(
         found.select(
             "id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -154,15 +158,15 @@ def spelling_forms(counts: DataFrame, *, ratio: int = 10) -> DataFrame:
         "forms",
     )
     roots = _roots(held.where("to is not null").select("id", "to"))
-    ends = roots.join(held.select(F.col("id").alias("to"), F.col("word").alias("root")), "to").select("id", "root")
-    return held.join(ends, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    ends = roots.join(held.select(F.col("id").alias("to"), F.col("word").alias("root")).hint("merge"), "to").select("id", "root")
+    return held.join(ends.hint("merge"), "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(links: DataFrame) -> DataFrame:
     """``id, to``: where each chain of links ends; every round doubles how far a link reaches."""
     while True:
         onward = links.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        step = cut(links.join(onward, "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "roots")
+        step = cut(links.join(onward.hint("merge"), "to", "left").select("id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "roots")
         links = step.select("id", "to")
         if step.where("moved").isEmpty():
             return links
