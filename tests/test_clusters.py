@@ -119,6 +119,18 @@ def test_terms_and_weights(spark):
         assert got.get(i, {}) == pytest.approx({t: v / size for t, v in w.items()})
 
 
+def test_weights_deal_texts_once(spark):
+    """Terms are never sent by key, and a null in a key is a key like others, as in the SQL."""
+    df = spark.createDataFrame([(1, None, "rates rise fast"), (1, 2, "rates fall"), (2, 2, "fast rates")], "a int, b int, text string")
+    out = T.tf_idf(df, ["a", "b"], "text", features=4)
+    got = {}
+    for r in out.collect():
+        got[r.a, r.b] = got.get((r.a, r.b), 0) + r.weight**2
+    assert got == {(1, None): pytest.approx(1), (1, 2): pytest.approx(1), (2, 2): pytest.approx(1)}
+    by_key = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(a#" in x]
+    assert by_key and all("term#" not in x and "REPARTITION_BY_COL" in x for x in by_key)
+
+
 def test_components_as_dense(spark):
     rng = np.random.default_rng(2)
     dense = (rng.normal(size=(300, 4)) * [5, 3, 2, 1]) @ rng.normal(size=(4, 40)) + 0.05 * rng.normal(size=(300, 40)) + 0.4

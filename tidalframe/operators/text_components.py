@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,15 +31,17 @@ def tf_idf(df: DataFrame, keys: list[str], text: str, *, features: int = 200, st
 
     Null texts have no terms; ``n`` counts texts that are not null.
     """
-    each = df.where(F.col(text).isNotNull()).select(*keys, F.explode_outer(terms_of(text, stop)).alias("term"))
-    tf = each.groupBy(*keys, "term").agg(F.count("term").alias("tf"))
-    n = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("_n"))
-    top = tf.where("term is not null").groupBy("term").agg(F.sum("tf").alias("_all"), F.count("*").alias("_df")).orderBy(F.desc("_all"), "term").limit(features)
-    # At most `features` rows: numbered and broadcast.
+    texts = df.where(F.col(text).isNotNull())
+    # Texts are dealt by key once; their terms, many times as large, are then counted where they are.
+    each = texts.select(*keys, text).repartition(*keys).select(*keys, F.explode(terms_of(text, stop)).alias("term"))
+    n = texts.agg(F.count("*").alias("_n"))
+    top = each.groupBy(*keys, "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("_all"), F.count("*").alias("_df")).orderBy(F.desc("_all"), "term").limit(features)
+    # At most `features` rows: numbered and broadcast. Only their terms are counted again by text.
     vocabulary = top.agg(F.array_sort(F.collect_list(F.struct("term", "_df"))).alias("_v")).select(F.posexplode("_v").alias("place", "_t")).select("place", "_t.term", "_t._df")
-    weighted = tf.join(F.broadcast(vocabulary), "term").join(F.broadcast(n)).withColumn("_w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
-    length = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") ** 2)).alias("_l"))
-    return weighted.join(length, keys).select(*keys, "term", "place", (F.col("_w") / F.col("_l")).alias("weight"))
+    tf = each.join(F.broadcast(vocabulary), "term").groupBy(*keys, "term", "place", "_df").agg(F.count("*").alias("tf"))
+    weighted = tf.join(F.broadcast(n)).withColumn("_w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1))
+    length = F.sqrt(F.sum(F.col("_w") ** 2).over(Window.partitionBy(*keys)))
+    return weighted.select(*keys, "term", "place", (F.col("_w") / length).alias("weight"))
 
 
 def sparse_rows(weights: DataFrame, keys: list[str]) -> DataFrame:
