@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidalframe.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
-from tidalframe.llm.common import cut, fresh, release, written_so_far
+from tidalframe.llm.common import cut, fresh, release, small_batches, written_so_far
 
+#: Bytes that Python gets at a time, from the first stage on: workers are reused and keep what the largest batch took.
+BATCH = 2 << 20
 #: Documents of this score or more are toxic.
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labels, does not reject."""
+    small_batches(spark, BATCH)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model, score = toxicity.train(docs, labels, "toxic"), fresh(docs, "_toxicity")
     return toxicity.score(docs, model, out_col=score).where(F.col(score) < TOXIC).drop(score)

@@ -36,6 +36,8 @@ from .labelled import labelled_sample
 
 _WORDS = re.compile(r"[^\W_]+").findall
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of texts (one text at least) that are split into words at a time.
+SLICE = 1 << 19
 
 
 def grams_of(words: list[str], buckets: int, least: int = 3, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +102,16 @@ class Model:
         return self.__dict__ | {"known": {}}
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
+        out, lo = np.zeros(len(texts)), 0
+        while lo < len(texts):  # the words of all texts at once are many times as large as the texts
+            hi, size = lo + 1, len(texts[lo] or "")
+            while hi < len(texts) and (size := size + len(texts[hi] or "")) <= SLICE:
+                hi += 1
+            out[lo:hi] = self._margins(texts[lo:hi])
+            lo = hi
+        return out + self.bias
+
+    def _margins(self, texts: list[str | None]) -> np.ndarray:
         split = [_WORDS((t or "").lower()) for t in texts]
         if len(self.known) > 200_000:
             self.known.clear()
@@ -113,7 +125,7 @@ class Model:
         for k, words in enumerate(split):
             if words:
                 out[k] = means(first_only(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), self.passage), passages_of(len(words), self.passage)).max()
-        return out + self.bias
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
