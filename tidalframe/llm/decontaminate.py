@@ -3,17 +3,21 @@
 A benchmark item is cut into windows of ``window`` words (an item with fewer
 is one window). A document is contaminated where it contains a window.
 
-1. The windows' shingles of ``shingle`` words are counted over all documents.
-2. Shingles are ordered by rarity. A document contains a window only if it
-   contains every shingle of it, so for full containment the necessary prefix
-   is one token: the window's rarest shingle, with its offset in the window.
-3. Documents look up their shingles in a bit filter of fixed size over the
-   prefix tokens and send on the hits only: token, position, the words around.
-   These join the windows by token.
+1. Documents look up their shingles of ``shingle`` words in a bit filter of
+   fixed size over the windows' shingles. The runs of words that found ones
+   cover are written as passages: no shingle of a window, so no window, lies
+   outside of one. This is the only pass over whole texts.
+2. In the passages the windows' shingles are counted, which counts them over
+   all documents, and ordered by rarity. A document contains a window only if
+   it contains every shingle of it, so for full containment the necessary
+   prefix is one token: the window's rarest shingle, with its offset in it.
+3. Passages look up their shingles in a bit filter over the prefix tokens and
+   send on the hits only: token, position, the words around. These join the
+   windows by token.
 4. The offset bounds the place (a window must start and end inside the
-   document), and the words around are compared with the window itself.
+   passage), and the words around are compared with the window itself.
 
-What is broadcast is the bit filter, whose size is fixed; items and windows
+What is broadcast are the bit filters, whose size is fixed; items and windows
 are joined, so a benchmark may be of any size.
 
 Defined results: null text or item text has no words; an item without words
@@ -53,11 +57,29 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int, sh
     return narrow.mapInArrow(split, "item string, window binary, hashes array<long>")
 
 
-def _per_length(sizes: list[int], hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The document's shingles of each length that the windows have."""
+def _blocks(texts: list[bytes], most: int = 16_384) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of some texts at a time, in one list, and where each text ends in it: short texts share numpy's calls."""
+    words, ends = [], []
+    for text in texts:
+        words += words_of(text)
+        ends.append(len(words))
+        if len(words) >= most:
+            yield words, np.array(ends)
+            words, ends = [], []
+    if ends:
+        yield words, np.array(ends)
+
+
+def _hits(words: list[bytes], ends: np.ndarray, sizes: list[int], hashed: WordHash, bits: BitFilter) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length that the windows have, the shingles in the filter: length, and for each its text, place and hash."""
+    hashes = hashed(words)
     for n in sizes:
         if len(hashes) >= n:
-            yield n, shingles(hashes, n)
+            h = shingles(hashes, n)
+            at = np.flatnonzero(bits.has(h))
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + n <= ends[text]
+            yield n, text[inside], at[inside], h[at[inside]]
 
 
 def _shingle_sizes(windows: DataFrame, shingle: int) -> list[int]:
@@ -65,8 +87,37 @@ def _shingle_sizes(windows: DataFrame, shingle: int) -> list[int]:
     return sorted(r[0] for r in windows.select(size.alias("s")).distinct().collect())
 
 
-def _shingle_counts(texts: DataFrame, sizes: list[int], held) -> DataFrame:
-    """``h, n``: how often each of the windows' shingles occurs in all documents."""
+def _passages(narrow: DataFrame, sizes: list[int], held) -> DataFrame:
+    """``id, n_words, parts``: of each text the runs of words that shingles in the filter cover, with their first word's place."""
+    part = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([narrow.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("parts", T.ArrayType(part))])
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, bits = WordHash(), held.value
+        for b in batches:
+            n_words, n_parts, firsts, runs = [], [], [], []
+            for words, ends in _blocks(bytes_of(b.column(1))):
+                n_words.append(np.diff(ends, prepend=0))
+                # A place is shifted by its text's number, so that runs of neighbouring texts never touch.
+                step, gap = np.zeros(len(words) + len(ends) + 1, np.int32), np.arange(len(ends))
+                for n, text, at, _ in _hits(words, ends, sizes, hashed, bits):
+                    step[at + text] += 1
+                    step[at + text + n] -= 1
+                lo, hi = np.flatnonzero(np.diff(np.cumsum(step) > 0, prepend=False)).reshape(-1, 2).T
+                text = np.searchsorted(ends + gap + 1, lo, side="right")
+                n_parts.append(np.bincount(text, minlength=len(ends)))
+                firsts.append(lo - (ends - n_words[-1] + gap)[text])
+                runs += [b" ".join(words[i:j]) for i, j in zip((lo - text).tolist(), (hi - text).tolist(), strict=True)]
+            if n_words:
+                first, offsets = np.concatenate(firsts), np.concatenate([[0], *n_parts]).cumsum()
+                parts = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(runs, pa.binary())], ["first", "words"])
+                yield pa.record_batch([b.column(0), pa.array(np.concatenate(n_words), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)], ["id", "n_words", "parts"])
+
+    return narrow.mapInArrow(find, schema)
+
+
+def _shingle_counts(passages: DataFrame, sizes: list[int], held) -> DataFrame:
+    """``h, n``: how often each of the windows' shingles occurs in all passages."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, bits, kept, rows = WordHash(), held.value, [], 0
@@ -76,17 +127,17 @@ def _shingle_counts(texts: DataFrame, sizes: list[int], held) -> DataFrame:
             return pa.record_batch([signed(h), pa.array(n.astype(np.int64))], ["h", "n"])
 
         for b in batches:
-            for text in bytes_of(b.column(0)):
-                for _, h in _per_length(sizes, hashed(words_of(text))):
-                    kept.append(h[bits.has(h)])
-                    rows += len(kept[-1])
+            for words, ends in _blocks(bytes_of(b.column(0))):
+                for *_, h in _hits(words, ends, sizes, hashed, bits):
+                    kept.append(h)
+                    rows += len(h)
             if rows > 1_000_000:
                 yield out()
                 kept, rows = [], 0
         if rows:
             yield out()
 
-    return texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return passages.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def contamination(
@@ -101,39 +152,42 @@ def contamination(
     spark = docs.sparkSession
     windows = cut(item_windows(items, item_col, item_text_col, window, shingle), "windows")
     sizes = _shingle_sizes(windows, shingle)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    tokens = windows.select(F.explode("hashes").alias("h")).distinct()
-    counts = _shingle_counts(texts, sizes, spark.sparkContext.broadcast(BitFilter.of(tokens, "h", log2_bits)))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # Many bits a key: what passes by chance would become a passage.
+    tokens = spark.sparkContext.broadcast(BitFilter.of(windows.select(F.explode("hashes").alias("h")).distinct(), "h", log2_bits, per_key=256))
+    looked = cut(_passages(narrow, sizes, tokens).withColumn("row", F.monotonically_increasing_id()), "passages")
+    passages = looked.select("row", F.inline("parts"))
+    counts = _shingle_counts(passages.select("words"), sizes, tokens)
     # The rarest shingle of a distinct window; ties go to the smaller hash, then the smaller offset.
     distinct = windows.groupBy("window").agg(F.first("hashes").alias("hashes"))
     placed = distinct.select("window", F.posexplode("hashes").alias("offset", "h")).join(counts, "h", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("best")
     prefix = cut(placed.groupBy("window").agg(rarest).select("window", F.col("best.h").alias("h"), F.col("best.offset").alias("offset"), F.col("best.n").alias("n")), "prefixes")
     held = spark.sparkContext.broadcast(BitFilter.of(prefix.where("n > 0"), "h", log2_bits))
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    hit = T.StructType([T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("left", T.IntegerType()), T.StructField("around", T.BinaryType())])
-    schema = T.StructType([narrow.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit))])
-    arrow_hit = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("around", pa.binary())])
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, bits = WordHash(), held.value
+        hashed, bits, kept = WordHash(), held.value, []
+
+        def out() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), types, strict=True)], ["row", "h", "at", "left", "around"])
+
         for b in batches:
-            n_words, hits = [], []
-            for text in bytes_of(b.column(1)):
-                words = words_of(text)
-                n_words.append(len(words))
-                mine = []
-                for n, h in _per_length(sizes, hashed(words)):
-                    for at in np.flatnonzero(bits.has(h)).tolist():
-                        lo = max(0, at - (window - n))
-                        mine.append((int(h[at].view(np.int64)), at, at - lo, b" ".join(words[lo : at + window])))
-                hits.append(mine)
-            flat = [dict(zip(("h", "at", "left", "around"), x, strict=True)) for m in hits for x in m]
-            ends = np.concatenate([[0], np.cumsum([len(m) for m in hits])]).astype(np.int32)
-            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, arrow_hit))], ["id", "n_words", "hits"])
-
-    looked = cut(narrow.mapInArrow(look_up, schema).withColumn("row", F.monotonically_increasing_id()), "hits")
-    hits = looked.select("row", F.inline("hits"))
+            rows, firsts, done = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            for words, ends in _blocks(bytes_of(b.column(2))):
+                begins = [0, *ends.tolist()]
+                for n, run, at, h in _hits(words, ends, sizes, hashed, bits):
+                    for k, i, x in zip(run.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        lo = max(begins[k], i - (window - n))
+                        kept.append((rows[done + k], x, firsts[done + k] + i - begins[k], i - lo, b" ".join(words[lo : min(i + window, begins[k + 1])])))
+                        if len(kept) > 20_000:
+                            yield out()
+                            kept.clear()
+                done += len(ends)
+        if kept:
+            yield out()
+
+    hits = passages.mapInArrow(look_up, "row long, h long, at int, left int, around binary")
     around, words = F.split(F.col("around").cast("string"), " "), F.split(F.col("window").cast("string"), " ")
     start = F.col("left") - F.col("offset")
     found = (
